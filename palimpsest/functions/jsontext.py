@@ -99,6 +99,22 @@ def read(text: Any) -> Any:
         raise Unreadable(str(e)) from e
 
 
+def clean(text: str) -> str:
+    """``text`` without lone surrogates, which no column can hold."""
+    return text if text.isascii() else text.encode("utf-8", "surrogatepass").decode("utf-8", "replace")
+
+
+def _scalar(value: Any) -> str:
+    out = json.dumps(value, ensure_ascii=False)
+    if out.isascii():
+        return out
+    try:
+        out.encode("utf-8")
+    except UnicodeEncodeError:  # a lone surrogate stays an escape
+        return json.dumps(value)
+    return out
+
+
 def canonical(value: Any) -> str:
     """Compact text with sorted names; ``1`` and ``1.0`` stay different, as payload hashes tell them apart."""
     out: list[str] = []
@@ -112,7 +128,7 @@ def canonical(value: Any) -> str:
             names = sorted(x)
             for i, name in reversed(list(enumerate(names))):
                 todo.append(("v", x[name]))
-                todo.append(("t", ("," if i else "") + json.dumps(name) + ":"))
+                todo.append(("t", ("," if i else "") + _scalar(name) + ":"))
             todo.append(("t", "{"))
         elif isinstance(x, list):
             todo.append(("t", "]"))
@@ -122,7 +138,7 @@ def canonical(value: Any) -> str:
                     todo.append(("t", ","))
             todo.append(("t", "["))
         else:
-            out.append(json.dumps(x))
+            out.append(_scalar(x))
     return "".join(out)
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.functions.jsontext import Unreadable, canonical, read
+from palimpsest.functions.jsontext import Unreadable, canonical, clean, read
 from palimpsest.session import Scratch, broadcast_if_small, ship
 
 #: Leaves sent on at once.
@@ -33,7 +33,7 @@ def leaves(value: dict) -> Iterator[tuple[str, Any]]:
         if isinstance(x, dict):
             todo.extend((f"{path}/{k}", v) for k, v in reversed(x.items()))
         else:
-            yield path, x
+            yield clean(path), x
 
 
 def flatten(rows: DataFrame, values: bool = False) -> DataFrame:

@@ -10,12 +10,13 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palimpsest.functions.jsontext import digest
 from palimpsest.session import blank_trim, broadcast_if_small, ship
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def json_digest(data: pd.Series) -> pd.Series:
     """16 bytes equal for payloads equal as JSON; null for null."""
     return data.map(digest)

@@ -93,4 +93,25 @@ QUERIES = {
     for f in (p1_found, p1_hierarchy, p1_descendants, p2_found, p2_wide, p3_found, p4_found, p4_history, p5_found, p5_table, p6_found, p6_tables)
 }
 
-ORACLE: dict[str, str] = {}
+_RELEASES = "rel AS (SELECT version_id, label, row_number() OVER (ORDER BY coalesce(build_time::TIMESTAMPTZ, imported_at::TIMESTAMPTZ), version_id) AS ord FROM client_versions)"
+
+ORACLE: dict[str, str] = {
+    "p1_found": """WITH RECURSIVE ids AS (SELECT DISTINCT try_cast(trim(id) AS BIGINT) AS id FROM skills),
+e AS (SELECT id, min(p) AS p FROM (SELECT try_cast(trim(id) AS BIGINT) AS id, try_cast(trim(unnest(map_keys(req))) AS BIGINT) AS p FROM skills) WHERE p IN (SELECT id FROM ids) GROUP BY id),
+w(id, cur, depth, seen) AS (SELECT id, p, 1, [id] FROM e UNION ALL SELECT w.id, e.p, depth + 1, list_append(seen, cur) FROM w JOIN e ON e.id = w.cur WHERE NOT list_contains(seen, cur)),
+last AS (SELECT id, max_by(cur, depth) AS cur, max(depth) AS depth, max_by(seen, depth) AS seen FROM w GROUP BY id)
+SELECT id AS skill_id, CASE WHEN list_contains(seen, cur) THEN list_min(seen[list_position(seen, cur):]) ELSE cur END AS root_id, (CASE WHEN list_contains(seen, cur) THEN -1 ELSE depth END)::INT AS depth FROM last""",
+    "p2_found": r"""WITH c AS (SELECT stat_name, value_type, lower(regexp_replace(stat_name, '[^A-Za-z0-9]', '', 'g')) AS f FROM stat_catalog),
+r AS (SELECT try_cast(trim(skill_id) AS BIGINT) AS skill_id, skill_level, c.stat_name, value_type, regexp_replace(stat_value, '^\s+|\s+$', '', 'g') AS v
+ FROM skill_levels l JOIN c ON c.f = lower(regexp_replace(l.stat_name, '[^A-Za-z0-9]', '', 'g'))),
+n AS (SELECT *, CASE value_type WHEN 'int' THEN CASE WHEN regexp_full_match(v, '[+-]?\d+(,\d{3})*(\.0*)?') THEN try_cast(regexp_replace(replace(v, ',', ''), '\.0*$', '') AS HUGEINT)::VARCHAR END
+ WHEN 'double' THEN CASE WHEN regexp_full_match(replace(v, ',', '.'), '[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?') THEN try_cast(replace(v, ',', '.') AS DOUBLE)::VARCHAR END
+ WHEN 'boolean' THEN CASE WHEN lower(v) IN ('true', 'yes', '1') THEN 'true' WHEN lower(v) IN ('false', 'no', '0') THEN 'false' END ELSE v END AS x FROM r WHERE v <> '')
+SELECT skill_id, skill_level, stat_name FROM n GROUP BY ALL HAVING count(x) < count(*) OR count(DISTINCT x) > 1""",
+    "p3_found": f"""WITH {_RELEASES}, done AS (SELECT DISTINCT extractor AS source, version_id, ord FROM extractions JOIN rel USING (version_id)),
+steps AS (SELECT *, lag(version_id) OVER (PARTITION BY source ORDER BY ord) AS old FROM done),
+rec AS (SELECT source, version_id, kind, key, max_by(lower(trim(hash)), loaded_at) AS hash FROM (SELECT *, regexp_replace(regexp_replace(key, '[/\\\\]+', '/', 'g'), '^/|/$', '', 'g') AS k FROM records) AS r(version_id, source, kind, raw, hash, blob_hash, loaded_at, key) GROUP BY ALL),
+n AS (SELECT s.version_id AS v, s.source, kind, key, hash FROM steps s JOIN rec r ON r.source = s.source AND r.version_id = s.version_id WHERE old IS NOT NULL),
+o AS (SELECT s.version_id AS v, s.source, kind, key, hash FROM steps s JOIN rec r ON r.source = s.source AND r.version_id = s.old)
+SELECT v AS version_id, kind, key, CASE WHEN o.hash IS NULL THEN 'added' WHEN n.hash IS NULL THEN 'removed' ELSE 'modified' END AS status FROM n FULL JOIN o USING (v, source, kind, key) WHERE n.hash IS DISTINCT FROM o.hash""",
+}
