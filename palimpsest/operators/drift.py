@@ -197,9 +197,10 @@ def consistent(rows: DataFrame, releases: DataFrame) -> DataFrame:
 
 def typed(table: DataFrame, feed: str) -> DataFrame:
     """The consistent table of one feed with a typed column for each of its names."""
-    here = table.where(F.col("feed") == feed)
+    here = table.where(F.col("feed") == feed).withColumn("name", F.when(F.col("name").isin("feed", "version_id", "line_no"), F.concat("name", F.lit("_"))).otherwise(F.col("name")))
     names = sorted((r.name, r.type) for r in here.select("name", "type").distinct().collect())
     to = {"int": "bigint", "float": "double", "bool": "boolean"}
-    wide = here.groupBy("feed", "version_id", "line_no", "id").pivot("name", [n for n, _ in names]).agg(F.first("value", ignorenulls=True))
+    wide = here.groupBy("feed", "version_id", "line_no").pivot("name", [n for n, _ in names]).agg(F.first("value", ignorenulls=True))
     quoted = lambda n: F.col("`" + n.replace("`", "``") + "`")
-    return wide.select("feed", "version_id", "line_no", *(quoted(n).try_cast(to.get(t, "string")).alias(f"{n}_" if n in wide.columns[:3] else n) for n, t in names))
+    keys = ("feed", "version_id", "line_no")
+    return wide.select(*keys, *(quoted(n).try_cast(to.get(t, "string")).alias(n) for n, t in names))
