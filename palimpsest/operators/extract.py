@@ -175,3 +175,9 @@ def nodes_from_json(text: str, version_id: int = 1) -> list[tuple]:
 
 
 NODES = "version_id bigint, path string, parent string, name string, depth int, type string, value string"
+
+
+def node_json(nodes: DataFrame, path: str, depth: int = 0) -> str:
+    """A node as indented JSON, ``depth`` levels of it (0: all). ``nodes`` is what ``sources.nodes.subtree`` gives of it."""
+    rows = nodes.where(F.col("path").isNotNull()).dropDuplicates(["path"]).select("path", "parent", "name", "type", "value").toPandas()
+    return json.dumps(_Tree(rows).json(path, depth or None), indent=2, ensure_ascii=False, sort_keys=True)
