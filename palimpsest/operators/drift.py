@@ -106,7 +106,7 @@ def field_changes(rows: DataFrame, releases: DataFrame) -> DataFrame:
     ``rows``: feed, version_id, line_no, payload (JSON objects with a member id); other columns are not read. A path is
     the member names joined by ``/`` down to a value that is no object; a file has it if a readable line does, even
     as null. Renamed: one path goes, another comes, and wherever both files hold the id and neither value is null the
-    values are equal, at least once; of several candidates those sharing most values pair up, ties by name. Where an
+    values are equal, at least once (lines without id aside); of several candidates those sharing most values pair up, ties by name. Where an
     id repeats in a file its last line counts. Retyped: the type among int, float, string, bool and list differs;
     a file where all are null has none. Lines of a null feed or of a version that releases lack are left out, and
     a file without readable line is no file. Empty tables give an empty result.
@@ -144,7 +144,7 @@ def _renames(rows: DataFrame, files: DataFrame, added: DataFrame, removed: DataF
     places = turning.join(files, ["feed", "place"]).select("feed", "version_id")
     before = turning.select("feed", (F.col("place") - 1).alias("place")).join(files, ["feed", "place"]).select("feed", "version_id")
     flat = flatten(rows.join(places.unionByName(before).distinct(), ["feed", "version_id"], "left_semi"), values=True)
-    flat = flat.where("type <> 'null'").join(files.drop("files"), ["feed", "version_id"])
+    flat = flat.where("type <> 'null' and id <> 'null'").join(files.drop("files"), ["feed", "version_id"])
 
     @F.pandas_udf("binary")
     def digest(text):  # noqa: ANN001, ANN202

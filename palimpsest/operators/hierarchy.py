@@ -66,6 +66,8 @@ def hierarchy(nodes: DataFrame, edges: DataFrame, paths: bool = False) -> DataFr
             ).alias("path"),
         )
         known = scratch.save(known.unionByName(new), f"known{r}")
+        scratch.drop(f"known{r + 1}")
+        scratch.drop(f"step{r}")
     out = known.join(links.select("n", F.col("p").alias("parent")), "n")
     return out.select(F.col("n").alias("id"), "parent", "root", "depth", *(["path"] if paths else []))
 

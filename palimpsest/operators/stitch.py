@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 
 from palimpsest.session import Scratch, blank_trim, gather, ship
 
-#: Entities of one block: bounds what a stitching task holds at once.
-BLOCK = 4096
+#: Entities of one block at most, and its cells: bounds what a stitching task holds at once.
+BLOCK, CELLS = 4096, 1_000_000
 
 #: Spark's type for each type of the catalogue.
 TYPES = {"int": T.DecimalType(38, 0), "double": T.DoubleType(), "boolean": T.BooleanType(), "string": T.StringType()}
@@ -116,6 +116,7 @@ def wide(rows: DataFrame, entity: list[str], attribute: str, value: str, catalog
             kind = (r.value_type or "string").strip().lower()
             listed.setdefault(_fold(r.stat_name), (r.stat_name, kind if kind in TYPES else "string"))
     names = list(listed.values())
+    block = max(1, min(block, CELLS // max(1, len(names))))
     scratch = Scratch(spark)
     rows = rows.where(" and ".join(f"`{c}` is not null" for c in entity))
     cell = scratch.save(cells(rows, entity, attribute, value, names), "cells")
