@@ -44,8 +44,7 @@ def token_count(text: Column, tokenizer: str = TOKENIZER) -> Column:
     @F.pandas_udf("bigint")
     def count(texts: pd.Series) -> pd.Series:
         encoding = _encoding(tokenizer)
-        whole = ["" if t is None or not t.strip() else t for t in texts]
-        return pd.Series([len(e) for e in encoding.encode_ordinary_batch(whole, num_threads=1)], dtype="int64")
+        return pd.Series([0 if t is None or not t.strip() else len(encoding.encode_ordinary(t)) for t in texts], dtype="int64")
 
     return count(text)
 
