@@ -114,4 +114,32 @@ rec AS (SELECT source, version_id, kind, key, max_by(lower(trim(hash)), loaded_a
 n AS (SELECT s.version_id AS v, s.source, kind, key, hash FROM steps s JOIN rec r ON r.source = s.source AND r.version_id = s.version_id WHERE old IS NOT NULL),
 o AS (SELECT s.version_id AS v, s.source, kind, key, hash FROM steps s JOIN rec r ON r.source = s.source AND r.version_id = s.old)
 SELECT v AS version_id, kind, key, CASE WHEN o.hash IS NULL THEN 'added' WHEN n.hash IS NULL THEN 'removed' ELSE 'modified' END AS status FROM n FULL JOIN o USING (v, source, kind, key) WHERE n.hash IS DISTINCT FROM o.hash""",
+    "p4_found": f"""WITH {_RELEASES}, canon AS (SELECT event_id, string_agg(j.fullkey || '=' || j.type || coalesce(j.atom::VARCHAR, ''), chr(10) ORDER BY j.fullkey) AS c
+ FROM (SELECT event_id, data FROM history_events WHERE json_valid(data)) h, json_tree(h.data) j GROUP BY event_id),
+ev AS (SELECT kind, key, r.version_id, ord, max_by(event_id, received_at::VARCHAR || printf('%020d', event_id)) AS event_id FROM history_events h JOIN rel r ON lower(trim(r.label)) = lower(trim(h.version)) GROUP BY ALL),
+st AS (SELECT ev.*, CASE WHEN lower(trim(h.status)) = 'removed' THEN NULL ELSE coalesce(c, 'text ' || h.data, 'none') END AS c FROM ev JOIN history_events h USING (event_id) LEFT JOIN canon USING (event_id)),
+ch AS (SELECT *, lag(c) OVER w IS DISTINCT FROM c AS change FROM st WINDOW w AS (PARTITION BY kind, key ORDER BY ord)),
+pe AS (SELECT kind, key, version_id, c, lead(version_id) OVER (PARTITION BY kind, key ORDER BY ord) AS nxt FROM ch WHERE change)
+SELECT kind, key, version_id AS from_version_id, coalesce(nxt, 0) AS to_version_id FROM pe WHERE c IS NOT NULL""",
+    "p5_found": f"""WITH {_RELEASES}, lines AS (SELECT feed, version_id, line_no, payload FROM raw_records JOIN rel USING (version_id) WHERE CASE WHEN json_valid(payload) THEN json_type(payload) = 'OBJECT' ELSE false END),
+leaf AS (SELECT feed, version_id, line_no, json_extract(payload, '$.id')::VARCHAR AS id, replace(substr(j.fullkey, 3), '.', '/') AS path,
+ CASE j.type WHEN 'UBIGINT' THEN 'int' WHEN 'BIGINT' THEN 'int' WHEN 'DOUBLE' THEN 'float' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'bool' WHEN 'ARRAY' THEN 'list' END AS type, j.value::VARCHAR AS v
+ FROM lines l, json_tree(l.payload) j WHERE j.type <> 'OBJECT' AND strpos(j.fullkey, '[') = 0),
+cat AS (SELECT feed, version_id, path, max(type) AS type FROM leaf GROUP BY ALL),
+f AS (SELECT feed, version_id, lag(version_id) OVER (PARTITION BY feed ORDER BY ord) AS old FROM (SELECT DISTINCT feed, version_id, ord FROM cat JOIN rel USING (version_id))),
+n AS (SELECT f.feed, f.version_id, path, type FROM f JOIN cat c ON c.feed = f.feed AND c.version_id = f.version_id WHERE old IS NOT NULL),
+o AS (SELECT f.feed, f.version_id, path, type FROM f JOIN cat c ON c.feed = f.feed AND c.version_id = f.old),
+went AS (SELECT * FROM o ANTI JOIN n USING (feed, version_id, path)), came AS (SELECT * FROM n ANTI JOIN o USING (feed, version_id, path)),
+val AS (SELECT feed, version_id, path, id, max_by(v, line_no) AS v FROM leaf WHERE type IS NOT NULL AND id IS NOT NULL GROUP BY ALL),
+met AS (SELECT w.feed, w.version_id, w.path, c.path AS new_path, count(*) AS met, count_if(a.v = b.v) AS equal FROM went w JOIN came c USING (feed, version_id) JOIN f USING (feed, version_id)
+ JOIN val a ON a.feed = w.feed AND a.version_id = f.old AND a.path = w.path JOIN val b ON b.feed = w.feed AND b.version_id = w.version_id AND b.path = c.path AND b.id = a.id GROUP BY ALL),
+rn AS (SELECT feed, version_id, path, new_path FROM met WHERE met = equal QUALIFY row_number() OVER (PARTITION BY feed, version_id, path ORDER BY equal DESC, new_path) = 1 AND row_number() OVER (PARTITION BY feed, version_id, new_path ORDER BY equal DESC, path) = 1)
+SELECT feed, version_id, 'renamed' AS change, path, new_path FROM rn UNION ALL SELECT feed, version_id, 'retyped', path, '' FROM n JOIN o USING (feed, version_id, path) WHERE n.type <> o.type
+UNION ALL SELECT feed, version_id, 'removed', path, '' FROM went ANTI JOIN rn USING (feed, version_id, path)
+UNION ALL SELECT feed, version_id, 'added', path, '' FROM came c WHERE NOT EXISTS (SELECT 1 FROM rn WHERE rn.feed = c.feed AND rn.version_id = c.version_id AND rn.new_path = c.path)""",
+    "p6_found": r"""WITH RECURSIVE w(kind, key, path, around, v) AS (SELECT DISTINCT kind, key, '', '', data::JSON FROM nested_records WHERE json_valid(data)
+UNION ALL SELECT w.kind, w.key, CASE WHEN w.path = '' THEN j.key ELSE w.path || '/' || j.key END, CASE WHEN json_type(w.v) = 'OBJECT' THEN w.path ELSE w.around END,
+ CASE WHEN json_type(j.value) = 'VARCHAR' AND regexp_matches(json_extract_string(j.value, '$'), '^\s*[\[{]') AND json_valid(json_extract_string(j.value, '$')) THEN json_extract_string(j.value, '$')::JSON ELSE j.value END
+ FROM w, json_each(w.v) j WHERE json_type(w.v) IN ('OBJECT', 'ARRAY'))
+SELECT DISTINCT kind, key, path, around AS parent_path FROM w WHERE path <> '' AND json_type(v) = 'OBJECT'""",
 }
