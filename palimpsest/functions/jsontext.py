@@ -117,6 +117,8 @@ def _scalar(value: Any) -> str:
 
 def canonical(value: Any) -> str:
     """Compact text with sorted names; ``1`` and ``1.0`` stay different, as payload hashes tell them apart."""
+    if not isinstance(value, (dict, list)):
+        return _scalar(value)
     out: list[str] = []
     todo: list[Any] = [("v", value)]
     while todo:

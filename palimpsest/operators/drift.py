@@ -78,14 +78,18 @@ def flatten(rows: DataFrame, values: bool = False) -> DataFrame:
     return flat if values else flat.drop("value")
 
 
-def lifespans(flat: DataFrame, releases: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The catalogue (feed, path, type, born, died: place of the first file and of the last) and the files
-    (feed, version_id, place from 1, files of the feed). A path's type in a file is that of most of its values, the
+def catalogue(flat: DataFrame, releases: DataFrame) -> DataFrame:
+    """(feed, version_id, path, type, ord): what each file has. A path's type in a file is that of most of its values, the
     first by name among equals; 'null' if all are null."""
     order = broadcast_if_small(releases.select("version_id", "ord"))
     count = flat.groupBy("feed", "version_id", "path", "type").agg(F.count("*").alias("n"))
     best = F.max(F.struct((F.col("type") != "null").alias("real"), "n", F.expr("-ascii(type)"), "type"))["type"]
-    catalogue = count.groupBy("feed", "version_id", "path").agg(best.alias("type")).join(order, "version_id")
+    return count.groupBy("feed", "version_id", "path").agg(best.alias("type")).join(order, "version_id")
+
+
+def lifespans(catalogue: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The catalogue's lifespans (feed, path, type, born, died: place of the first file and of the last) and the files
+    (feed, version_id, place from 1, files of the feed)."""
     by_feed = Window.partitionBy("feed")
     files = catalogue.select("feed", "version_id", "ord").distinct()
     files = files.select(
@@ -114,7 +118,7 @@ def field_changes(rows: DataFrame, releases: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     scratch = Scratch(spark)
     rows = rows.where("feed is not null")
-    spans, files = lifespans(flatten(rows), releases)
+    spans, files = lifespans(scratch.save(catalogue(flatten(rows), releases), "catalogue"))  # one reading of the lines
     spans, files = scratch.save(spans, "spans"), scratch.save(files, "files")
 
     starts = spans.where("born > 1").select("feed", "path", "type", F.col("born").alias("place"), F.lit(True).alias("start"))
@@ -126,7 +130,7 @@ def field_changes(rows: DataFrame, releases: DataFrame) -> DataFrame:
     added, removed = log.where("went is null"), log.where("came is null")
     retyped = log.where("came <> 'null' and went <> 'null'").select("feed", "place", F.lit("retyped").alias("change"), "path", F.lit("").alias("new_path"))
 
-    renames = scratch.save(_renames(rows, files, added, removed), "renames")
+    renames = scratch.save(_renames(rows, files, added, removed, scratch), "renames")
     old = removed.join(renames, ["feed", "place", "path"], "left_anti").select("feed", "place", F.lit("removed").alias("change"), "path", F.lit("").alias("new_path"))
     new = added.join(renames.select("feed", "place", F.col("new_path").alias("path")), ["feed", "place", "path"], "left_anti")
     new = new.select("feed", "place", F.lit("added").alias("change"), "path", F.lit("").alias("new_path"))
@@ -135,7 +139,7 @@ def field_changes(rows: DataFrame, releases: DataFrame) -> DataFrame:
     return every.join(files.drop("files"), ["feed", "place"]).select("feed", "version_id", "change", "path", "new_path")
 
 
-def _renames(rows: DataFrame, files: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
+def _renames(rows: DataFrame, files: DataFrame, added: DataFrame, removed: DataFrame, scratch: Scratch) -> DataFrame:
     """(feed, place, path, new_path). Values meet by feed, place, id and value, so no pair is formed that does not agree
     somewhere; only pairs that do are then checked for an id where they disagree."""
     went = removed.select("feed", "place", "path")
@@ -143,17 +147,22 @@ def _renames(rows: DataFrame, files: DataFrame, added: DataFrame, removed: DataF
     turning = went.select("feed", "place").distinct().join(came, ["feed", "place"], "left_semi")
     places = turning.join(files, ["feed", "place"]).select("feed", "version_id")
     before = turning.select("feed", (F.col("place") - 1).alias("place")).join(files, ["feed", "place"]).select("feed", "version_id")
+    both = came.withColumnRenamed("new_path", "path").join(turning.select("feed", "place").distinct(), ["feed", "place"], "left_semi")
+    leaving = went.join(turning.select("feed", "place").distinct(), ["feed", "place"], "left_semi").select("feed", (F.col("place") - 1).alias("place"), "path")
+    wanted = both.unionByName(leaving).distinct()
     flat = flatten(rows.join(places.unionByName(before).distinct(), ["feed", "version_id"], "left_semi"), values=True)
-    flat = flat.where("type <> 'null' and id <> 'null'").join(files.drop("files"), ["feed", "version_id"])
+    flat = flat.where("type <> 'null' and id <> 'null'").join(files.drop("files"), ["feed", "version_id"]).join(wanted, ["feed", "place", "path"], "left_semi")
 
     @F.pandas_udf("binary")
     def digest(text):  # noqa: ANN001, ANN202
         return text.map(lambda t: hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=12).digest())
 
-    flat = flat.groupBy("feed", "place", "path", "id").agg(F.max(F.struct("line_no", "value"))["value"].alias("value"))
-    old = flat.select("feed", (F.col("place") + 1).alias("place"), "path", "id", "value").join(went, ["feed", "place", "path"], "left_semi")
-    new = flat.withColumnRenamed("path", "new_path").join(came, ["feed", "place", "new_path"], "left_semi")
-    old, new = (x.withColumn("v", digest("value")).drop("value") for x in (old, new))
+    # The values of paths that go or come, and no others, are kept: the second and last reading of the lines.
+    last = flat.select("feed", "place", "path", "id", "line_no", digest("value").alias("v"))
+    last = last.groupBy("feed", "place", "path", "id").agg(F.max(F.struct("line_no", "v"))["v"].alias("v"))
+    last = scratch.save(last, "values")
+    old = last.select("feed", (F.col("place") + 1).alias("place"), "path", "id", "v").join(went, ["feed", "place", "path"], "left_semi")
+    new = last.withColumnRenamed("path", "new_path").join(came, ["feed", "place", "new_path"], "left_semi")
     agree = old.join(new, ["feed", "place", "id", "v"]).groupBy("feed", "place", "path", "new_path").agg(F.count("*").alias("equal"))
     pairs = agree.join(old.drop("v"), ["feed", "place", "path"]).join(new.drop("v"), ["feed", "place", "new_path", "id"])
     whole = pairs.groupBy("feed", "place", "path", "new_path", "equal").agg(F.count("*").alias("met")).where("met = equal")
