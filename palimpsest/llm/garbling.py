@@ -3,7 +3,7 @@
 A smoothed character n-gram model is trained on the clean records of the corpus itself. Every chain of encoding back
 with one codec and decoding with another is a candidate for every run of text it can apply to; the model scores
 original and candidates, and a record is garbled if its likeliest restorations gain more than a margin, which is
-validated on held-out clean records and on the same records garbled on purpose.
+validated on all clean texts and on the same texts garbled on purpose, as a whole and a word at a time.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import codecs
 import html
 import re
 import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import islice
@@ -26,8 +27,8 @@ from palimpsest.session import Scratch, ship
 
 #: Counters of the model's hashed n-gram table: 4 MB as int32, whatever the size of the corpus.
 TABLE = 1 << 20
-#: Clean records on which the margin is validated, at most, and the most characters of one.
-VALIDATION, VALIDATION_CHARS = 500, 10_000
+#: Gains are told apart to this part of one where the margin is validated.
+STEP = 1 / 16
 #: Weight of the shorter n-gram, in counts per character of training: grows with the corpus, since what garbling is left in
 #: the training does so too and must not look regular anywhere.
 SMOOTH = 5e-6
@@ -35,6 +36,8 @@ SMOOTH = 5e-6
 FLOOR = 2.0
 #: Least and greatest margin, whatever the validation gives.
 MARGINS = (8.0, 14.0)
+#: Common wrong readings, (written in, read in), that the validation garbles with; the first can write every text.
+COMMON = (("utf_8", "cp1252"), ("utf_8", "mac_roman"), ("cp1252", "mac_roman"), ("mac_roman", "cp1252"), ("cp1252", "cp850"))
 #: Rounds of restoring, for text garbled more than once or in more than one way.
 ROUNDS = 4
 
@@ -148,11 +151,11 @@ def _slots(p: np.ndarray, n: int) -> np.ndarray:
 
 class Model:
     """Interpolated trigrams over hashed counts; log probabilities of whole tokens. ``best`` need not tell gains below
-    ``least``: tokens that can't reach it are not tried."""
+    ``least``: tokens that can't reach it are not tried; nor gains above ``enough``: further rounds are left out."""
 
-    def __init__(self, counts: np.ndarray, least: float = 0.0):
+    def __init__(self, counts: np.ndarray, least: float = 0.0, enough: float = float("inf")):
         self.counts = counts.astype(np.float64)
-        self.least = least
+        self.least, self.enough = least, enough
         self.total = float(max(1, counts[-1]))
         self.prior = max(0.5, SMOOTH * self.total)
         self.cache: dict[str, tuple[float, str]] = {}
@@ -209,7 +212,8 @@ class Model:
                 i = a + int(np.argmax(logs[a:b]))
                 if i > a:
                     tries[t] = (tries[t][0] + float(logs[i] - logs[a]), flat[i])
-                    on.append(t)
+                    if tries[t][0] < self.enough:
+                        on.append(t)
             going = on
         for t, (gain, new) in tries.items():
             self.cache[t] = (gain, new) if gain > 0 else (0.0, t)
@@ -295,11 +299,11 @@ def _texts(batch: pa.RecordBatch, column: int) -> list[str]:
 _KEPT: dict[str, Model] = {}
 
 
-def _model(shared: Broadcast, name: str, least: float) -> Model:
+def _model(shared: Broadcast, name: str, least: float, enough: float = float("inf")) -> Model:
     """The model of a broadcast table; a worker keeps it, with what it has learnt, from task to task."""
     if name not in _KEPT:
         _KEPT.clear()
-        _KEPT[name] = Model(shared.value, least)
+        _KEPT[name] = Model(shared.value, least, enough)
     return _KEPT[name]
 
 
@@ -336,25 +340,87 @@ def train(docs: DataFrame, text: str = "text") -> np.ndarray:
     return counts
 
 
-def margin(docs: DataFrame, counts: np.ndarray, text: str = "text", most: int = VALIDATION) -> float:
-    """The gain that tells garbled from clean: half way between the 99th percentile of what clean records gain and
-    the 1st of what they gain once garbled on purpose, kept within ``MARGINS``. Measured on at most ``most`` records of at
-    most ``VALIDATION_CHARS`` characters beyond ASCII that the model finds nothing plain in; garbled with each of the common wrong readings in turn."""
-    model = Model(counts)
-    texts = [r[0] for r in docs.select(text).where(F.col(text).rlike(r"[^\x00-\x7f]") & (F.length(text) <= VALIDATION_CHARS)).orderBy(F.xxhash64(text)).limit(most).collect()]
-    clean, spoilt = [], []
-    wrong = (("utf_8", "cp1252"), ("utf_8", "mac_roman"), ("cp1252", "mac_roman"), ("mac_roman", "cp1252"), ("cp1252", "cp850"))
-    for i, t in enumerate(texts):
-        if plainly_garbled(t) or suspicious(t):
+def spoilt(text: str, words: list[str]) -> tuple[str, list[str]]:
+    """The text and each of the words garbled on purpose: with the one of the ``COMMON`` wrong readings that a hash of the
+    text says, or the next that can write all of it. Words that come out as they were are left out."""
+    first = zlib.crc32(text.encode("utf_8", "replace"))
+    for i in range(len(COMMON)):
+        written, read = COMMON[(first + i) % len(COMMON)]
+        try:
+            text.encode(written)
+        except UnicodeEncodeError:
             continue
-        clean.append(gain(t, model))
-        written, read = wrong[i % len(wrong)]
-        raw = t.encode(written, "ignore")
-        if len(raw) >= len(t) and raw != t.encode("ascii", "ignore"):
-            spoilt.append(gain(codecs.charmap_decode(raw, "strict", _DECODE[read])[0], model))
-    if not clean or not spoilt:
+        break
+    else:
+        written, read = COMMON[0]
+    wrong = lambda t: codecs.charmap_decode(t.encode(written, "ignore"), "strict", _DECODE[read])[0]
+    return wrong(text), [x for w in words if (x := wrong(w)) != w]
+
+
+#: What is measured: clean texts, texts garbled as a whole, texts with one word garbled. Gains from twice the greatest margin
+#: on share the last step, since none of them can move the margin.
+_CLEAN, _WHOLE, _PART = range(3)
+_STEPS = int(2 * MARGINS[1] / STEP) + 1
+
+
+def gains(texts: Iterable[str], model: Model, size: int = 200) -> np.ndarray:
+    """How many of the clean texts, and of the same garbled as a whole and with each of their words garbled alone, gain how
+    many ``STEP``s. Clean is what holds nothing plainly garbled."""
+    table = np.zeros((3, _STEPS), np.int64)
+    rest = (t for t in texts if not (plainly_garbled(t) or suspicious(t)))
+
+    def put(kind: int, found: float) -> None:
+        table[kind, min(int(found / STEP), _STEPS - 1)] += 1
+
+    while group := [*islice(rest, size)]:
+        tried = []
+        for t in group:
+            found = tokens(t)
+            whole, words = spoilt(t, found)
+            tried.append((found, tokens(whole), [tokens(w) for w in words]))
+        model.learn([x for found, whole, words in tried for part in (found, whole, *words) for x in part])
+        for found, whole, words in tried:
+            clean = most(found, model)
+            put(_CLEAN, clean)
+            if words:
+                put(_WHOLE, most(whole, model))
+            for w in words:
+                put(_PART, max(clean, most(w, model)))
+    return table
+
+
+def _validation(shared: Broadcast, name: str):
+    def measure(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = gains((t for b in source for t in _texts(b, 0)), _model(shared, name, 0.0, 2 * MARGINS[1]))
+        kind, at = np.nonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(table[kind, at])], names=["kind", "at", "n"])
+
+    return measure
+
+
+def measured(docs: DataFrame, counts: np.ndarray, text: str = "text") -> np.ndarray:
+    """``gains`` of all texts beyond ASCII, whatever their length, counted where they lie; only the counts come to the driver."""
+    ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(counts.astype(np.int32))
+    parts = docs.select(text).where(F.col(text).rlike(r"[^\x00-\x7f]")).mapInArrow(_validation(shared, uuid.uuid4().hex), "kind int, at int, n bigint")
+    sums = parts.groupBy("kind", "at").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros((3, _STEPS), np.int64)
+    table[sums["kind"].to_numpy(), sums["at"].to_numpy()] = sums["n"].to_numpy()
+    return table
+
+
+def _quantile(table: np.ndarray, q: float) -> float:
+    return float(np.searchsorted(np.cumsum(table), q * (table.sum() - 1), "right")) * STEP
+
+
+def margin(docs: DataFrame, counts: np.ndarray, text: str = "text") -> float:
+    """The gain that tells garbled from clean: half way between the 99th percentile of what clean texts gain and the 1st
+    of what they gain once garbled on purpose (as a whole or in one word, whichever is less), kept within ``MARGINS``.
+    Measured on all texts of any length, so it neither depends on the size of the corpus nor on how it lies in partitions."""
+    table = measured(docs, counts, text)
+    if not table[_CLEAN].any() or not table[_WHOLE].any():
         return MARGINS[0]
-    middle = (np.quantile(clean, 0.99) + np.quantile(spoilt, 0.01)) / 2
+    middle = (_quantile(table[_CLEAN], 0.99) + min(_quantile(table[_WHOLE], 0.01), _quantile(table[_PART], 0.01))) / 2
     return float(np.clip(middle, *MARGINS))
 
 

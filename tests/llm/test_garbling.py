@@ -90,3 +90,25 @@ def test_nothing_that_reaches_the_margin_is_left_untried(model):
             full = model.best(t)
             got = quick.best(t)
             assert (got[1] == full[1] and abs(got[0] - full[0]) < 1e-6) or full[0] < least
+
+
+def test_margin_is_validated_on_all_texts_whole_and_in_part(spark):
+    texts = [f"{CLEAN[i % 8]} {i}" for i in range(1200)] + [" ".join([CLEAN[1]] * 200)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    counts = g.train(df)
+    table = g.measured(df, counts)
+    assert table[g._CLEAN].sum() == table[g._WHOLE].sum() == len(texts)
+    assert table[g._PART].sum() == sum(len(g.spoilt(t, g.tokens(t))[1]) for t in texts) > 9000
+    assert (table == g.measured(df.repartition(7), counts)).all()
+    plain = g.gains(texts[:50], g.Model(counts))
+    assert (plain == g.gains(texts[:50], g.Model(counts, enough=2 * g.MARGINS[1]))).all()
+
+
+def test_margin_sees_the_longest_texts(spark, monkeypatch):
+    """Three in a hundred texts gain much though they pass for clean, all of them long: the margin rises."""
+    bad = spoil(CLEAN[1], "utf_8", "mac_roman")
+    texts = [f"{CLEAN[i % 8]} {i}" for i in range(97)] + [f"{CLEAN[1] * 200} {i} {bad}" for i in range(3)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    counts = g.count(CLEAN * 50)
+    monkeypatch.setattr(g, "MARGINS", (0.0, 14.0))
+    assert g.margin(df, counts) == 14.0
