@@ -18,10 +18,10 @@ def hierarchy(nodes: DataFrame, edges: DataFrame, paths: bool = False) -> DataFr
     """Root and depth of every node.
 
     ``nodes`` has ``id`` BIGINT; ``edges`` has ``id`` and ``parent``. Result: id, parent, root, depth and, if ``paths``,
-    path (ARRAY from the node to its root). Repeated rows count once; null ids, parents that are no node and nodes of
-    edges that are no node count for nothing. A node of several parents follows the smallest. A node whose way up
-    ends in a circle gets the circle's smallest id as root, depth -1 and a null path. Other columns are ignored;
-    empty tables give an empty result.
+    path (ARRAY from the node to its root) and round. Repeated rows count once; null ids, parents that are no node and
+    nodes of edges that are no node count for nothing. A node of several parents follows the smallest. A node whose way
+    up ends in a circle gets the circle's smallest id as root, depth -1, a null path and as round (null for all others) its
+    way up to the circle and once round it, each node once. Other columns are ignored; empty tables give an empty result.
     """
     spark = nodes.sparkSession
     scratch = Scratch(spark)
@@ -48,8 +48,10 @@ def hierarchy(nodes: DataFrame, edges: DataFrame, paths: bool = False) -> DataFr
         if not left:
             break
 
+    # Until the end path is the way up of every node. A node that was spliced out of a circle comes again in the way of
+    # the one above it: only the first time counts.
     path = F.lit(None).cast("array<bigint>")
-    known = live.select("n", F.least("n", "least").alias("root"), F.lit(-1).alias("depth"), path.alias("path"))
+    known = live.select("n", F.least("n", "least").alias("root"), F.lit(-1).alias("depth"), (F.concat(F.array("n"), "via") if paths else path).alias("path"))
     for r in range(len(steps) - 1, -1, -1):
         gone = steps[r].where("tag = 'gone'").alias("g")
         top = known.select(F.col("n").alias("p"), "root", "depth", "path").alias("k")
@@ -60,7 +62,7 @@ def hierarchy(nodes: DataFrame, edges: DataFrame, paths: bool = False) -> DataFr
             F.when(F.col("p").isNull(), F.col("n")).otherwise(F.col("root")).alias("root"),
             F.when(F.col("p").isNull(), 0).when(ring, -1).otherwise(F.col("depth") + F.col("w")).alias("depth"),
             (
-                F.when(F.col("p").isNull(), F.array("n")).when(ring, None).otherwise(F.concat(F.array("n"), "via", "path"))
+                F.when(F.col("p").isNull(), F.array("n")).when(ring, F.array_distinct(F.concat(F.array("n"), "via", "path"))).otherwise(F.concat(F.array("n"), "via", "path"))
                 if paths
                 else path
             ).alias("path"),
@@ -69,7 +71,9 @@ def hierarchy(nodes: DataFrame, edges: DataFrame, paths: bool = False) -> DataFr
         scratch.drop(f"known{r + 1}")
         scratch.drop(f"step{r}")
     out = known.join(links.select("n", F.col("p").alias("parent")), "n")
-    return out.select(F.col("n").alias("id"), "parent", "root", "depth", *(["path"] if paths else []))
+    ring = F.col("depth") == -1
+    ways = [F.when(~ring, F.col("path")).alias("path"), F.when(ring, F.col("path")).alias("round")]
+    return out.select(F.col("n").alias("id"), "parent", "root", "depth", *(ways if paths else []))
 
 
 def _contract(live: DataFrame, r: int, paths: bool, scratch: Scratch) -> tuple[DataFrame, int]:
@@ -111,8 +115,10 @@ def _contract(live: DataFrame, r: int, paths: bool, scratch: Scratch) -> tuple[D
 
 def descendants(tree: DataFrame) -> DataFrame:
     """(id, descendant, distance): every node with all that build on it, from the paths of ``hierarchy(paths=True)``.
-    As many rows as the sum of depths. Nodes whose way ends in a circle have no path and are left to it."""
-    return tree.select(F.col("id").alias("descendant"), F.posexplode("path").alias("distance", "id")).where("distance > 0").select("id", "descendant", "distance")
+    As many rows as the sum of depths. The nodes of a circle build on each other, and what hangs below one on all of them;
+    the distance is the shortest, and no node is its own descendant."""
+    way = F.coalesce("path", "round")
+    return tree.select(F.col("id").alias("descendant"), F.posexplode(way).alias("distance", "id")).where("distance > 0").select("id", "descendant", "distance")
 
 
 def descendant_counts(tree: DataFrame) -> DataFrame:

@@ -60,3 +60,31 @@ def test_one_parent_of_a_third_and_a_long_chain(spark):
     assert {r.id: r.n_descendants for r in descendant_counts(out).where("n_descendants > 400").collect()}[0] == 999
     assert out.where("id = 2499").head().depth == 500
     assert descendants(out).where("id = 1999").count() == 500
+
+
+def brute_descendants(pairs, ids):
+    up = {i: p for i, (p, *_) in brute(pairs, ids).items() if p is not None}
+    out = set()
+    for i in ids:
+        at, k, seen = i, 0, {i}
+        while at in up and up[at] not in seen:
+            at, k = up[at], k + 1
+            seen.add(at)
+            out.add((at, i, k))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_descendants_in_and_below_circles(spark, seed):
+    rnd = random.Random(seed)
+    ids = list(range(400))
+    pairs = [(i, i + 1) for i in range(40)] + [(40, 0), (41, 41), (42, 43), (43, 42)]  # circles of 41, one and two
+    pairs += [(i, rnd.randrange(max(0, i - 4), i)) for i in range(44, 200)]  # long tails below them
+    pairs += [(i, rnd.randrange(200, 400)) for i in range(200, 390)]
+    n, e = tree(spark, pairs, ids)
+    out = hierarchy(n, e, paths=True).cache()
+    want = brute_descendants(pairs, set(ids))
+    got = [tuple(r) for r in descendants(out).collect()]
+    assert len(got) == len(want) and set(got) == want
+    counts = {r.id: r.n_descendants for r in descendant_counts(out).collect()}
+    assert counts == {i: sum(a == i for a, _, _ in want) for i in ids}
