@@ -13,7 +13,9 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +26,7 @@ from palimpsest.session import gather, ship
 WINDOW, ERRORS = 12, 2
 #: Words of one block of items: bounds what a task holds of them (about 40 MB as an index).
 BLOCK_WORDS = 100_000
-#: A leading sentence that so many items share is an instruction.
+#: A leading sentence before so many different bodies is an instruction.
 SHARED = 5
 
 _HIDDEN = re.compile("[\u00ad\u200b-\u200f\u2060-\u2064\ufeff]")
@@ -134,17 +136,34 @@ class Matcher:
         return sorted(self.items[i][0] for i in found)
 
 
-def instructions(items: DataFrame, text: str = "text", shared: int = SHARED) -> frozenset[str]:
-    """The leading sentences (their words) that at least ``shared`` items start with, also behind one another. Counted
-    over all items; only those shared come to the driver."""
-    ship(items.sparkSession)
+def lead(text: str | None, known: frozenset[str]) -> tuple[str, str] | None:
+    """The first sentence of an item that is no known instruction, and its body: the sentence in the middle of its words, so
+    that copies of an item have one body and so have several questions on one passage longer than they are. None from the
+    body on, which is no instruction."""
+    said = [" ".join(ws) for x in _SENTENCE.split((text or "").strip()) if (ws := words(x))]
+    sizes = list(accumulate(x.count(" ") + 1 for x in said))
+    middle = next((i for i, n in enumerate(sizes) if 2 * n > sizes[-1]), 0)
+    first = next((i for i, x in enumerate(said) if x not in known), middle)
+    return (said[first], said[middle]) if first < middle else None
 
-    @F.pandas_udf("array<string>")
-    def heads(texts):  # noqa: ANN001, ANN202
-        return texts.map(lambda t: [" ".join(words(s)) for s in _SENTENCE.split((t or "").strip())[:3]])
 
-    first = items.select(F.explode(heads(F.col(text))).alias("s")).groupBy("s").agg(F.count("*").alias("n"))
-    return frozenset(r.s for r in gather(first.where((F.col("n") >= shared) & (F.col("s") != ""))))
+def instructions(items: DataFrame, text: str = "text", shared: int = SHARED) -> frozenset[str]:
+    """The leading sentences (their words) before at least ``shared`` different bodies, also behind one another, any number
+    of them: each round takes those that the items start with behind the ones known. Counted over all items; only those
+    shared come to the driver."""
+    ship(items.sparkSession)
+    known: frozenset[str] = frozenset()
+    while True:
+
+        @F.pandas_udf("struct<s: string, body: string>")
+        def heads(texts: pd.Series) -> pd.DataFrame:
+            return pd.DataFrame([lead(t, known) or (None, None) for t in texts], columns=["s", "body"], dtype=object)
+
+        first = items.select(heads(F.col(text)).alias("h")).select("h.*").where("s is not null").distinct().groupBy("s").agg(F.count("*").alias("n"))
+        new = frozenset(r.s for r in gather(first.where(F.col("n") >= shared))) - known
+        if not new:
+            return known
+        known |= new
 
 
 def blocks(items: DataFrame, item_id: str, text: str, known: frozenset[str], most: int) -> Iterator[list[tuple[int, list[str]]]]:

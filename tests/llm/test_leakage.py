@@ -3,7 +3,7 @@ import random
 import pytest
 from conftest import rows
 
-from palimpsest.llm.leakage import Matcher, body, distance, leaks, words
+from palimpsest.llm.leakage import Matcher, body, distance, instructions, leaks, words
 
 
 def levenshtein(p, t):
@@ -89,3 +89,20 @@ def test_against_brute_force_on_the_tables(spark, data):
 def test_matcher_tells_each_item_once():
     w = [f"w{i}" for i in range(30)]
     assert Matcher([(7, w), (8, w[:11])], 12, 2).find(w * 3) == [7]
+
+
+def test_copies_and_questions_on_one_passage_keep_their_sentences(spark):
+    parts = ITEM.split(". ")[1].split()
+    story = f"{' '.join(parts[:9])}. {' '.join(parts[9:])}."
+    asked = [f"{story} Question {i} asks who row{i} is?" for i in range(5)]
+    items = [(i, story) for i in range(5)] + [(10 + i, t) for i, t in enumerate(asked)]
+    items = spark.createDataFrame(items, "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, "so " + " ".join(parts[2:20]))], "doc_id bigint, text string")
+    assert instructions(items) == frozenset()
+    assert rows(leaks(docs, items)) == sorted([(1, i) for i in (*range(5), *range(10, 15))], key=repr)
+
+
+def test_any_number_of_instructions_behind_one_another(spark):
+    heads = ["Read it", "Think well", "Take your time", "Be brief", "Answer now"]
+    items = [(i, ". ".join([*heads, " ".join(f"w{i}x{k}" for k in range(30))])) for i in range(5)]
+    assert instructions(spark.createDataFrame(items, "item_id bigint, text string")) == {h.lower() for h in heads}
