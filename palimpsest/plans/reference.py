@@ -245,6 +245,12 @@ def page_records(spark, d):
     return rows.orderBy(*text.natural_order(F.col("key"))).offset(20).limit(search.PAGE)
 
 
+@query()
+def page_records_all(spark, d):
+    """The first page of all skill keys, cleaned, in the full natural order. No SQL."""
+    return search.page(_records(spark, d).where("kind = 'skill'").select("kind", "key").distinct(), 0)
+
+
 @query("SELECT count(*) AS rows, ceil(count(*) / 200.0)::BIGINT AS pages FROM records")
 def page_count(spark, d):
     return search.pages(table(spark, d, "records"))

@@ -1,8 +1,10 @@
 """Queries of the engine that have no SQL, against plain versions of them."""
 
+import re
 import unicodedata
 
 import __spark_entry__ as entry
+from palimpsest.operators import search
 
 
 def kept(c):
@@ -18,3 +20,14 @@ def test_tokens_of_all_documents(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.tokens for r in entry.queries()["text_tokens_all"](spark, str(tmp_path)).collect()}
     assert got == {i: n_tokens(t) for i, t in enumerate(texts) if t is not None}
+
+
+def test_page_of_all_cleaned_keys(spark, tmp_path):
+    raw = ["12", "/7", "skill\\\\100/", "skill//9", "3", "Skill", "18446744073709551616", "3/"] + [str(i) for i in range(1000, 1190)]
+    rows = [(1, "extractor", "skill", k, f"h{i}", "b", "2024-01-01") for i, k in enumerate(raw)] + [(1, "extractor", "img", "5", "h", "b", "2024-01-01")]
+    spark.createDataFrame(rows, "version_id int, source string, kind string, key string, hash string, blob_hash string, loaded_at string").write.parquet(f"{tmp_path}/records.parquet")
+    keys = {re.sub(r"^/|/$", "", re.sub(r"[/\\\\]+", "/", k)) for k in raw}
+    number = lambda k: int(k) if k.isdigit() and int(k) < 1 << 64 else None
+    order = sorted(keys, key=lambda k: (number(k) is None, number(k) or 0, k))
+    got = [tuple(r) for r in entry.queries()["page_records_all"](spark, str(tmp_path)).collect()]
+    assert got == [("skill", k) for k in order[: search.PAGE]] and ("skill", "skill/100") in got
