@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.session import Scratch, ship
 
-#: Counters of the model's hashed n-gram table: 4 MB as int32, whatever the size of the corpus.
+#: Counters of the model's hashed n-gram table: 8 MB as int64, whatever the size of the corpus.
 TABLE = 1 << 20
 #: Gains are told apart to this part of one where the margin is validated.
 STEP = 1 / 16
@@ -331,7 +331,7 @@ def train(docs: DataFrame, text: str = "text") -> np.ndarray:
     ship(docs.sparkSession)
     counts = None
     for _ in range(2):
-        shared = None if counts is None else docs.sparkSession.sparkContext.broadcast(counts.astype(np.int32))
+        shared = None if counts is None else docs.sparkSession.sparkContext.broadcast(counts)
         parts = docs.select(text).mapInArrow(_training(shared), "slot int, n bigint")
         sums = parts.groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
         new = np.zeros(TABLE + 1, np.int64)
@@ -401,7 +401,7 @@ def _validation(shared: Broadcast, name: str):
 def measured(docs: DataFrame, counts: np.ndarray, text: str = "text") -> np.ndarray:
     """``gains`` of all texts beyond ASCII, whatever their length, counted where they lie; only the counts come to the driver."""
     ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(counts.astype(np.int32))
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
     parts = docs.select(text).where(F.col(text).rlike(r"[^\x00-\x7f]")).mapInArrow(_validation(shared, uuid.uuid4().hex), "kind int, at int, n bigint")
     sums = parts.groupBy("kind", "at").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros((3, _STEPS), np.int64)
@@ -470,7 +470,7 @@ def garbled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", counts:
         once = distinct_texts(docs, text)
         counts = train(once, text) if counts is None else counts
         bound = margin(once, counts, text) if bound is None else bound
-    shared = docs.sparkSession.sparkContext.broadcast(counts.astype(np.int32))
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
     kind = {f.name: f.dataType.simpleString() for f in docs.schema.fields}[doc_id]
 
     name = uuid.uuid4().hex

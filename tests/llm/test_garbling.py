@@ -112,3 +112,13 @@ def test_margin_sees_the_longest_texts(spark, monkeypatch):
     counts = g.count(CLEAN * 50)
     monkeypatch.setattr(g, "MARGINS", (0.0, 14.0))
     assert g.margin(df, counts) == 14.0
+
+
+def test_counts_beyond_32_bits(spark):
+    counts = g.count(CLEAN * 50)
+    counts *= (1 << 33) // counts[-1]
+    bad = spoil(CLEAN[1], "utf_8", "cp1252")
+    df = spark.createDataFrame([(1, bad), (2, CLEAN[1])], "doc_id bigint, text string")
+    assert rows(g.garbled(df, counts=counts, bound=12.0)) == [(1, CLEAN[1], True)]
+    whole = g.gains(CLEAN, g.Model(counts))
+    assert (g.measured(spark.createDataFrame([(t,) for t in CLEAN], "text string"), counts) == whole).all()
