@@ -2,7 +2,7 @@
 
 A smoothed character n-gram model is trained on the clean records of the corpus itself. Every chain of encoding back
 with one codec and decoding with another is a candidate for every run of text it can apply to; the model scores
-original and candidates, and a record is garbled if its likeliest restorations gain more than a margin, which is
+original and candidates, and a record is garbled if its likeliest restorations gain a margin or more, which is
 validated on all clean texts and on the same texts garbled on purpose, as a whole and a word at a time.
 """
 
@@ -25,17 +25,22 @@ from pyspark.sql import functions as F
 
 from palimpsest.session import Scratch, ship
 
-#: Counters of the model's hashed n-gram table: 8 MB as int64, whatever the size of the corpus.
-TABLE = 1 << 20
-#: Gains are told apart to this part of one where the margin is validated.
-STEP = 1 / 16
+#: Counters of the model's hashed n-gram table to begin with, and at most (64 MB as int64). The table grows fourfold while
+#: more than ``FULL`` of it is taken, so that n-grams seldom share a counter.
+TABLE, MOST_TABLE, FULL = 1 << 20, 1 << 23, 0.5
+#: Gains are told apart to this part of one where the margin is validated, and up to this one.
+STEP, TOP = 1 / 16, 32.0
 #: Weight of the shorter n-gram, in counts per character of training: grows with the corpus, since what garbling is left in
 #: the training does so too and must not look regular anywhere.
 SMOOTH = 5e-6
-#: A token of less gain is left as it is, and does not keep its record out of the training.
+#: Share of an unknown character among all, whatever the size of the corpus.
+UNKNOWN = 1e-8
+#: A token of less gain does not keep its record out of the training.
 FLOOR = 2.0
-#: Least and greatest margin, whatever the validation gives.
-MARGINS = (8.0, 14.0)
+#: Share of the texts garbled on purpose that a margin must find for the share of those garbled unnoticed to be told by it.
+SURE = 0.9
+#: The margin where there is nothing to validate it on: no clean text beyond ASCII.
+UNVALIDATED = 10.0
 #: Common wrong readings, (written in, read in), that the validation garbles with; the first can write every text.
 COMMON = (("utf_8", "cp1252"), ("utf_8", "mac_roman"), ("cp1252", "mac_roman"), ("mac_roman", "cp1252"), ("cp1252", "cp850"))
 #: Rounds of restoring, for text garbled more than once or in more than one way.
@@ -46,7 +51,6 @@ READ_IN = ("cp1252", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "cp1254"
 #: Codecs that it was written in.
 WRITTEN_IN = ("utf_8", "cp932", "euc_jp", "cp949", *READ_IN)
 
-_TOKEN = re.compile(r"\\n|[ \t\r\n]+")
 _HIDDEN = re.compile("(?<=[\x00-\x7f])[\u00ad\u200b-\u200f\u2060\ufeff]+(?=[\x00-\x7f]|$)")
 _HARD = re.compile("(?<=[\x00-\x7f])\u00a0+(?=[\x00-\x7f]|$)")
 _SPLIT = re.compile(r"(\\n|[ \t\r\n]+)")
@@ -117,14 +121,23 @@ def _utf8(text: str, raw: bytes) -> str:
     return "".join(out) + text[at:]
 
 
+_SPACING = "\u00ad\u2060\ufeff\u200b\u200c\u200d\u200e\u200f\u00a0"
+
+
 def tokens(text: str) -> list[str]:
     """The pieces between white space (and a literal ``\\n``) that hold a character beyond ASCII or an entity. Hidden
     characters and hard spaces that follow ASCII are spacing, not remains of a wrong reading."""
-    if text.isascii() and "&" not in text:
-        return []
-    if not text.isascii():
+    if text.isascii():
+        return [t for t in _pieces(text) if "&" in t and _ENTITY.search(t)] if "&" in text else []
+    if any(c in text for c in _SPACING):
         text = _HARD.sub(" ", _HIDDEN.sub("", text))
-    return [t for t in _TOKEN.split(text) if t and (not t.isascii() or _ENTITY.search(t))]
+    if "&" in text:
+        return [t for t in _pieces(text) if t and (not t.isascii() or _ENTITY.search(t))]
+    return [t for t in _pieces(text) if not t.isascii()]
+
+
+def _pieces(text: str) -> list[str]:
+    return text.replace("\\n", " ").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
 
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -139,14 +152,18 @@ def _framed(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return points, begins, begins + sizes - 2
 
 
-def _slots(p: np.ndarray, n: int) -> np.ndarray:
-    """The table's slots of the n-grams that end at each position from the third on."""
+def _slots(p: np.ndarray, n: int, slots: int) -> np.ndarray:
+    """The counters, of ``slots`` (a power of two), of the n-grams that end at each position from the third on."""
     with np.errstate(over="ignore"):
         h = np.full(len(p) - 2, n, np.uint64)
         for i in range(n):
             h = (h ^ p[2 - i : len(p) - i]) * _K[i]
             h ^= h >> np.uint64(29)
-        return ((h * _K[0]) >> np.uint64(44)).astype(np.int64)
+        return ((h * _K[0]) >> np.uint64(65 - slots.bit_length())).astype(np.int64)
+
+
+#: What a lost character may have been: the upper characters of the single-byte codecs.
+_FILL = sorted({c for read in READ_IN for c in _DECODE[read][128:] if c.isalpha() or c in "’‘“”–—…«»°§½±©"})
 
 
 class Model:
@@ -155,24 +172,27 @@ class Model:
 
     def __init__(self, counts: np.ndarray, least: float = 0.0, enough: float = float("inf")):
         self.counts = counts.astype(np.float64)
+        self.size = len(counts) - 1
         self.least, self.enough = least, enough
         self.total = float(max(1, counts[-1]))
         self.prior = max(0.5, SMOOTH * self.total)
         self.cache: dict[str, tuple[float, str]] = {}
+        self.single: dict[str, list[tuple[tuple[str, str], float, str]]] = {}
+        self.fills: dict[tuple[str, str], str] = {}
 
     def _steps(self, p: np.ndarray) -> np.ndarray:
-        n = self.counts
+        n, size = self.counts, self.size
         before = np.concatenate([p[:1], p[:-1]])
-        p1 = (n[_slots(p, 1)] + 0.01) / (self.total + 0.01 * 65536)
-        p2 = (n[_slots(p, 2)] + self.prior * p1) / (n[_slots(before, 1)] + self.prior)
-        p3 = (n[_slots(p, 3)] + self.prior * p2) / (n[_slots(before, 2)] + self.prior)
+        p1 = (n[_slots(p, 1, size)] / self.total + UNKNOWN) / (1 + UNKNOWN * 65536)
+        p2 = (n[_slots(p, 2, size)] + self.prior * p1) / (n[_slots(before, 1, size)] + self.prior)
+        p3 = (n[_slots(p, 3, size)] + self.prior * p2) / (n[_slots(before, 2, size)] + self.prior)
         return np.log(np.minimum(p3, 1.0))
 
     def logs(self, texts: list[str]) -> np.ndarray:
-        """The log probability of each text."""
+        """The log probability of each text, rounded so that equals stay equal whatever they are scored with."""
         p, begins, ends = _framed(texts)
         whole = np.concatenate([[0.0], np.cumsum(self._steps(p))])
-        return whole[ends] - whole[begins]
+        return np.round(whole[ends] - whole[begins], 6)
 
     def reach(self, texts: list[str]) -> np.ndarray:
         """The most that any chain can gain on each text: what its n-grams cost that a chain can change. A chain changes
@@ -183,6 +203,21 @@ class Model:
         whole = np.concatenate([[0.0], np.cumsum(np.where(near, self._steps(p), 0.0))])
         return whole[begins] - whole[ends]
 
+    def filled(self, token: str) -> list[str]:
+        """A token that holds lost characters (U+FFFD), without them and with the likeliest of ``_FILL`` in their places,
+        from the left on. Only to tell what the loss costs: no text is restored by it."""
+        out = ""
+        for i, c in enumerate(token):
+            if c == _LOST:
+                near = (out[-2:], token[i + 1 : i + 3])
+                if near not in self.fills:
+                    if len(self.fills) > 50_000:
+                        self.fills.clear()
+                    self.fills[near] = _FILL[int(np.argmax(self.logs([near[0] + x + near[1] for x in _FILL])))]
+                c = self.fills[near]
+            out += c
+        return [token.replace(_LOST, ""), out]
+
     def learn(self, texts: list[str]) -> None:
         """Works out ``best`` for the tokens, many at once."""
         if len(self.cache) > 200_000:
@@ -201,9 +236,10 @@ class Model:
             flat: list[str] = []
             spans = []
             for t in going:
-                new = [*dict.fromkeys(options(tries[t][1]).values())]
+                at = tries[t][1]
+                new = [*dict.fromkeys(options(at).values()), *(self.filled(at) if _LOST in at else ())]
                 spans.append((len(flat), len(flat) + 1 + len(new)))
-                flat += [tries[t][1], *new]
+                flat += [at, *new]
             if not flat:
                 break
             logs = self.logs(flat)
@@ -224,9 +260,22 @@ class Model:
             self.learn([token])
         return self.cache[token]
 
+    def gaining(self, texts: list[str]) -> dict[str, list[tuple[tuple[str, str], float, str]]]:
+        """Of each token the single chains that gain on it: (chain, gain, what it gives)."""
+        if len(self.single) > 20_000:
+            self.single.clear()
+        new = [t for t in texts if t not in self.single]
+        for at in range(0, len(new), 256):
+            tries = [(t, options(t)) for t in new[at : at + 256]]
+            flat = [x for t, o in tries for x in (t, *dict.fromkeys(o.values()))]
+            logs = dict(zip(flat, self.logs(flat)))
+            for t, o in tries:
+                self.single[t] = [(chain, gain, x) for chain, x in o.items() if (gain := float(logs[x] - logs[t])) > 0]
+        return {t: self.single[t] for t in texts}
+
 
 def plainly_garbled(text: str) -> bool:
-    """Holds characters that only lost or misread bytes leave: U+FFFD or C1 controls."""
+    """Holds characters that only lost or misread bytes leave, U+FFFD or C1 controls: nothing to train on."""
     return _LOST in text or bool(_CONTROL.search(text))
 
 
@@ -238,10 +287,10 @@ def suspicious(text: str) -> bool:
     return bool(_READ_1252.search(text))
 
 
-def count(texts: Iterable[str], skip: Model | None = None) -> np.ndarray:
+def count(texts: Iterable[str], skip: Model | None = None, slots: int = TABLE) -> np.ndarray:
     """Hashed uni-, bi- and trigram counts of the tokens of clean texts; the last slot holds the number of characters.
     Clean is what holds nothing plainly garbled and, with a model to ask, no token that it would restore."""
-    table = np.zeros(TABLE + 1, np.int64)
+    table = np.zeros(slots + 1, np.int64)
     held: list[str] = []
     size = 0
 
@@ -252,8 +301,8 @@ def count(texts: Iterable[str], skip: Model | None = None) -> np.ndarray:
         np.subtract.at(inside, ends, 1)
         inside = np.cumsum(inside)[:-1].astype(bool)
         for n in (1, 2, 3):
-            table[:TABLE] += np.bincount(_slots(p, n)[inside], minlength=TABLE)
-        table[TABLE] += int(inside.sum())
+            table[:slots] += np.bincount(_slots(p, n, slots)[inside], minlength=slots)
+        table[slots] += int(inside.sum())
 
     for text, found in learned(texts, skip):
         if plainly_garbled(text) or _ENTITY.search(text) or (skip is None and suspicious(text)):
@@ -262,7 +311,7 @@ def count(texts: Iterable[str], skip: Model | None = None) -> np.ndarray:
             continue
         held += found
         size += len(text)
-        if size > 1 << 18:
+        if size > 1 << 20:
             if held:
                 flush()
             held, size = [], 0
@@ -307,60 +356,72 @@ def _model(shared: Broadcast, name: str, least: float, enough: float = float("in
     return _KEPT[name]
 
 
-def _training(skip: Broadcast | None):
+def _training(skip: Broadcast | None, slots: int):
     name = uuid.uuid4().hex
 
     def count_all(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = None if skip is None else _model(skip, name, FLOOR)
-        table = count((t for b in source for t in _texts(b, 0)), model)
+        table = count((t for b in source for t in _texts(b, 0)), model, slots)
         at = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(table[at])], names=["slot", "n"])
 
     return count_all
 
 
-def distinct_texts(docs: DataFrame, text: str = "text") -> DataFrame:
+def distinct_texts(docs: DataFrame, scratch: Scratch, text: str = "text") -> DataFrame:
     """The texts beyond ASCII, once each, as a written table: copies teach nothing new, and a garbled text copied often
     enough would pass for clean."""
-    return Scratch(docs.sparkSession).save(docs.select(text).where(F.col(text).rlike(r"[^\x00-\x7f]")).distinct(), "texts")
+    return scratch.save(docs.select(text).where(F.col(text).rlike(r"[^\x00-\x7f]")).distinct(), "texts")
 
 
-def train(docs: DataFrame, text: str = "text") -> np.ndarray:
+def train(docs: DataFrame, text: str = "text", slots: int = TABLE) -> np.ndarray:
     """The n-gram table of all clean texts of ``distinct_texts``, in two passes: the second leaves out what the first would
-    restore. Of the corpus only the table's sums come to the driver, ``TABLE`` of them at most."""
+    restore. Of the corpus only the table's sums come to the driver. A table that fills is counted again with four times
+    the counters, up to ``MOST_TABLE``."""
     ship(docs.sparkSession)
     counts = None
-    for _ in range(2):
+    while True:
         shared = None if counts is None else docs.sparkSession.sparkContext.broadcast(counts)
-        parts = docs.select(text).mapInArrow(_training(shared), "slot int, n bigint")
+        parts = docs.select(text).mapInArrow(_training(shared, slots), "slot int, n bigint")
         sums = parts.groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-        new = np.zeros(TABLE + 1, np.int64)
+        new = np.zeros(slots + 1, np.int64)
         new[sums["slot"].to_numpy()] = sums["n"].to_numpy()
-        counts = new
-    return counts
+        if np.count_nonzero(new[:-1]) > FULL * slots and slots < MOST_TABLE:
+            slots *= 4
+        elif counts is None:
+            counts = new
+        else:
+            return new
 
 
-def spoilt(text: str, words: list[str]) -> tuple[str, list[str]]:
-    """The text and each of the words garbled on purpose: with the one of the ``COMMON`` wrong readings that a hash of the
-    text says, or the next that can write all of it. Words that come out as they were are left out."""
+def reading(text: str) -> tuple[str, str]:
+    """The one of the ``COMMON`` wrong readings, (written in, read in), that a hash of the text says, or the next that can
+    write all of it."""
     first = zlib.crc32(text.encode("utf_8", "replace"))
     for i in range(len(COMMON)):
-        written, read = COMMON[(first + i) % len(COMMON)]
+        chain = COMMON[(first + i) % len(COMMON)]
         try:
-            text.encode(written)
+            text.encode(chain[0])
         except UnicodeEncodeError:
             continue
-        break
-    else:
-        written, read = COMMON[0]
-    wrong = lambda t: codecs.charmap_decode(t.encode(written, "ignore"), "strict", _DECODE[read])[0]
-    return wrong(text), [x for w in words if (x := wrong(w)) != w]
+        return chain
+    return COMMON[0]
+
+
+def misread(text: str, chain: tuple[str, str]) -> str:
+    """The text garbled on purpose."""
+    return codecs.charmap_decode(text.encode(chain[0], "ignore"), "strict", _DECODE[chain[1]])[0]
 
 
-#: What is measured: clean texts, texts garbled as a whole, texts with one word garbled. Gains from twice the greatest margin
-#: on share the last step, since none of them can move the margin.
+def spoilt(text: str, words: list[str]) -> tuple[str, list[str]]:
+    """The text and each of the words garbled on purpose by ``reading``. Words that come out as they were are left out."""
+    chain = reading(text)
+    return misread(text, chain), [x for w in words if (x := misread(w, chain)) != w]
+
+
+#: What is measured: clean texts, texts garbled as a whole, texts with one word garbled. Gains from ``TOP`` on share the last step.
 _CLEAN, _WHOLE, _PART = range(3)
-_STEPS = int(2 * MARGINS[1] / STEP) + 1
+_STEPS = int(TOP / STEP) + 1
 
 
 def gains(texts: Iterable[str], model: Model, size: int = 200) -> np.ndarray:
@@ -368,30 +429,40 @@ def gains(texts: Iterable[str], model: Model, size: int = 200) -> np.ndarray:
     many ``STEP``s. Clean is what holds nothing plainly garbled."""
     table = np.zeros((3, _STEPS), np.int64)
     rest = (t for t in texts if not (plainly_garbled(t) or suspicious(t)))
+    known: dict[tuple[str, tuple[str, str]], list[str]] = {}
+
+    def wrong(word: str, chain: tuple[str, str]) -> list[str]:
+        """The tokens of the garbled word; none if it comes out as it was."""
+        if (word, chain) not in known:
+            new = misread(word, chain)
+            known[word, chain] = tokens(new) if new != word else []
+        return known[word, chain]
 
     def put(kind: int, found: float) -> None:
         table[kind, min(int(found / STEP), _STEPS - 1)] += 1
 
     while group := [*islice(rest, size)]:
+        if len(known) > 200_000:
+            known.clear()
         tried = []
         for t in group:
-            found = tokens(t)
-            whole, words = spoilt(t, found)
-            tried.append((found, tokens(whole), [tokens(w) for w in words]))
-        model.learn([x for found, whole, words in tried for part in (found, whole, *words) for x in part])
+            found, chain = tokens(t), reading(t)
+            words = [(w, x) for w in found if (x := wrong(w, chain))]
+            tried.append((found, tokens(misread(t, chain)) if words else [], words))
+        model.learn([x for found, whole, words in tried for part in (found, whole, *(x for _, x in words)) for x in part])
         for found, whole, words in tried:
             clean = most(found, model)
             put(_CLEAN, clean)
             if words:
                 put(_WHOLE, most(whole, model))
-            for w in words:
-                put(_PART, max(clean, most(w, model)))
+            for _, x in words:
+                put(_PART, max(clean, most(x, model)))
     return table
 
 
 def _validation(shared: Broadcast, name: str):
     def measure(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = gains((t for b in source for t in _texts(b, 0)), _model(shared, name, 0.0, 2 * MARGINS[1]))
+        table = gains((t for b in source for t in _texts(b, 0)), _model(shared, name, 0.0, TOP))
         kind, at = np.nonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(table[kind, at])], names=["kind", "at", "n"])
 
@@ -409,19 +480,32 @@ def measured(docs: DataFrame, counts: np.ndarray, text: str = "text") -> np.ndar
     return table
 
 
-def _quantile(table: np.ndarray, q: float) -> float:
-    return float(np.searchsorted(np.cumsum(table), q * (table.sum() - 1), "right")) * STEP
+def margin(docs: DataFrame, counts: np.ndarray, text: str = "text") -> float:
+    """The gain from which a text counts as garbled, by ``threshold`` of what ``measured`` counts over all texts."""
+    return threshold(measured(docs, counts, text))
+
 
+def threshold(table: np.ndarray) -> float:
+    """The margin with the fewest errors by the counted gains of clean texts and of the same garbled on purpose.
 
-def margin(docs: DataFrame, counts: np.ndarray, text: str = "text") -> float:
-    """The gain that tells garbled from clean: half way between the 99th percentile of what clean texts gain and the 1st
-    of what they gain once garbled on purpose (as a whole or in one word, whichever is less), kept within ``MARGINS``.
-    Measured on all texts of any length, so it neither depends on the size of the corpus nor on how it lies in partitions."""
-    table = measured(docs, counts, text)
+    Some of the texts that pass for clean are garbled, a share p. With G the share of them that gains so much and S
+    the share of those garbled on purpose (the mean of whole texts and single words), p is the least of G / S where S is
+    ``SURE`` or more, for what a margin finds is garbled or clean. A margin then makes G - p S false rows and misses
+    p (1 - S): what is garbled unnoticed neither raises nor lowers the best margin. The middle of the margins around the
+    best one that are within half a text of it is taken."""
+    upto = lambda counts: np.cumsum(counts[::-1])[::-1] / max(1, counts.sum())
     if not table[_CLEAN].any() or not table[_WHOLE].any():
-        return MARGINS[0]
-    middle = (_quantile(table[_CLEAN], 0.99) + min(_quantile(table[_WHOLE], 0.01), _quantile(table[_PART], 0.01))) / 2
-    return float(np.clip(middle, *MARGINS))
+        return UNVALIDATED
+    g, s = upto(table[_CLEAN]), (upto(table[_WHOLE]) + upto(table[_PART])) / 2
+    p = (g[s >= SURE] / s[s >= SURE]).min()
+    errors = (g - 2 * p * s)[1:]  # no margin of 0
+    low = high = int(errors.argmin())
+    fair = errors <= errors[low] + 0.5 / table[_CLEAN].sum()
+    while low and fair[low - 1]:
+        low -= 1
+    while high + 1 < len(errors) and fair[high + 1]:
+        high += 1
+    return float((low + high) / 2 + 1) * STEP
 
 
 def restore(text: str, model: Model, bound: float, found: list[str] | None = None) -> tuple[bool, str, bool]:
@@ -429,47 +513,44 @@ def restore(text: str, model: Model, bound: float, found: list[str] | None = Non
 
     The chain that gains most over the whole text is undone wherever it gains; then the next, up to ``ROUNDS``. ``found``:
     the text's tokens, if the model has learnt them."""
-    if text.isascii() and "&" not in text:
-        return False, text, True
-    if _LOST not in text and (gain(text, model) if found is None else most(found, model)) < bound:
+    if (gain(text, model) if found is None else most(found, model)) < bound:
         return False, text, True
     parts = [html.unescape(p) if _ENTITY.search(p) else p for p in _SPLIT.split(text)]
     for _ in range(ROUNDS):
-        held = [*dict.fromkeys(p for p in parts if not p.isascii() and tokens(p))]
-        tries = [(t, options(t)) for t in held]
-        flat = [x for t, o in tries for x in (t, *dict.fromkeys(o.values()))]
-        if not flat:
+        often = Counter(p for p in parts if not p.isascii())
+        tries = model.gaining([p for p in often if tokens(p)])
+        sums: Counter[tuple[str, str]] = Counter()
+        for t, gaining in tries.items():
+            for chain, by, _ in gaining:
+                sums[chain] += by * often[t]
+        best = max(sums, key=lambda c: (sums[c], c), default=None)
+        if best is None or sums[best] < bound:
             break
-        logs = dict(zip(flat, model.logs(flat)))
-        often = Counter(parts)
-        gains: Counter[tuple[str, str]] = Counter()
-        for t, o in tries:
-            for chain, new in o.items():
-                gains[chain] += max(0.0, float(logs[new] - logs[t])) * often[t]
-        chain = max(gains, key=lambda c: (gains[c], c), default=None)
-        if chain is None or gains[chain] < bound:
-            break
-        to = {t: o[chain] for t, o in tries if chain in o and logs[o[chain]] > logs[t]}
+        to = {t: new for t, gaining in tries.items() for chain, _, new in gaining if chain == best}
         parts = [to.get(p, p) for p in parts]
     fixed = "".join(parts)
     return True, fixed, _LOST not in fixed and not _CONTROL.search(fixed)
 
 
-def garbled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", counts: np.ndarray | None = None, bound: float | None = None) -> DataFrame:
+def garbled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", counts: np.ndarray | None = None, bound: float | None = None, restored: bool = True, slots: int = TABLE) -> DataFrame:
     """(doc_id, restored, complete): every document that holds text decoded with the wrong encoding, in whole or part, with
-    its likeliest original; complete is false where characters are lost for good.
-
-    Garbled is what holds U+FFFD, or a token some chain of wrong readings (``READ_IN``) and right ones (``WRITTEN_IN``), up
-    to ``ROUNDS`` of them one upon the other and HTML entities undone first, gains more than the margin on. Clean
-    accents, symbols and quotes stay: the model knows them from the corpus. Null, blank and plain ASCII texts are
-    never garbled; copies count each; whole texts are scored whatever their length. Other columns are not read, and
-    an empty table gives an empty result.
+    its likeliest original; complete is false where characters are lost for good. Without ``restored`` doc_id alone.
+
+    Garbled is what holds a token some chain of wrong readings (``READ_IN``) and right ones (``WRITTEN_IN``), up to
+    ``ROUNDS`` of them one upon the other and HTML entities undone first, gains the margin or more on; a lost character
+    (U+FFFD) is scored against the likeliest in its place. Clean accents, symbols and quotes stay: the model knows them
+    from the corpus. ``counts`` and ``bound`` are trained and validated on ``docs`` unless they are given; ``slots`` (a
+    power of two) is the size of the table to begin with. Null, blank and plain ASCII texts are never garbled; copies
+    count each; whole texts are scored whatever their length. Other columns are not read, and an empty table gives an
+    empty result.
     """
     ship(docs.sparkSession)
     if counts is None or bound is None:
-        once = distinct_texts(docs, text)
-        counts = train(once, text) if counts is None else counts
+        scratch = Scratch(docs.sparkSession)
+        once = distinct_texts(docs, scratch, text)
+        counts = train(once, text, slots) if counts is None else counts
         bound = margin(once, counts, text) if bound is None else bound
+        scratch.drop("texts")
     shared = docs.sparkSession.sparkContext.broadcast(counts)
     kind = {f.name: f.dataType.simpleString() for f in docs.schema.fields}[doc_id]
 
@@ -480,12 +561,16 @@ def garbled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", counts:
         for batch in source:
             at, fixed, whole = [], [], []
             for i, (t, found) in enumerate(learned(_texts(batch, 1), model)):
-                bad, new, complete = restore(t, model, bound, found)
-                if bad:
-                    at.append(i)
+                if most(found, model) < bound:
+                    continue
+                at.append(i)
+                if restored:
+                    _, new, complete = restore(t, model, bound, found)
                     fixed.append(new)
                     whole.append(complete)
-            ids = batch.column(0).take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(fixed, pa.string()), pa.array(whole, pa.bool_())], names=[doc_id, "restored", "complete"])
+            columns = [batch.column(0).take(pa.array(at, pa.int64()))]
+            if restored:
+                columns += [pa.array(fixed, pa.string()), pa.array(whole, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=[doc_id, "restored", "complete"][: len(columns)])
 
-    return docs.select(doc_id, text).mapInArrow(find, f"{doc_id} {kind}, restored string, complete boolean")
+    return docs.select(doc_id, text).mapInArrow(find, f"`{doc_id}` {kind}" + (", restored string, complete boolean" if restored else ""))
