@@ -2,8 +2,9 @@
 
 A passage leaks if some run of ``window`` successive words of an item occurs with at most ``errors`` words changed or
 missing. Cut into errors + 1 pieces, such a run keeps at least one piece unharmed, so the exact hits of the items'
-pieces find every candidate, and Myers' bit-parallel distance over words decides each. Items come in blocks of bounded
-size, each matched against all documents in one pass without a shuffle; documents are only ever read in place.
+pieces find every candidate, and Myers' bit-parallel distance over words decides each. The pieces of all items make one
+sorted index, broadcast up to ``BLOCK_WORDS`` words of items (beyond that one pass over the documents per block);
+documents are only ever read in place, without a shuffle.
 """
 
 from __future__ import annotations
@@ -11,12 +12,13 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections import defaultdict
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, islice
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +26,8 @@ from palimpsest.session import gather, ship
 
 #: Words of an item that make a passage, and how many of them may be changed or missing.
 WINDOW, ERRORS = 12, 2
-#: Words of one block of items: bounds what a task holds of them (about 40 MB as an index).
-BLOCK_WORDS = 100_000
+#: Words of items in one index: bounds what is broadcast (20 bytes a word, and the vocabulary) and what a worker holds.
+BLOCK_WORDS = 4_000_000
 #: A leading sentence before so many different bodies is an instruction.
 SHARED = 5
 
@@ -55,15 +57,22 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(_QUOTE.sub("", text).casefold())
 
 
-def body(text: str | None, instructions: frozenset[str]) -> list[str]:
-    """The words of an item after the instructions that it starts with."""
+def parts(text: str | None, instructions: frozenset[str]) -> tuple[list[str], list[str]]:
+    """The words of the instructions that an item starts with, and those of the rest."""
     rest = (text or "").strip()
+    head: list[str] = []
     while rest:
         first, _, more = _SENTENCE.sub("\n", rest, count=1).partition("\n")
         if " ".join(words(first)) not in instructions:
             break
+        head += words(first)
         rest = more
-    return words(rest)
+    return head, words(rest)
+
+
+def body(text: str | None, instructions: frozenset[str]) -> list[str]:
+    """The words of an item after the instructions that it starts with."""
+    return parts(text, instructions)[1]
 
 
 def distance(pattern: list, text: list, most: int) -> int:
@@ -94,46 +103,96 @@ def distance(pattern: list, text: list, most: int) -> int:
     return best
 
 
+_PRIME = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _keys(codes: np.ndarray, n: int) -> np.ndarray:
+    """One number for each ``n`` successive codes."""
+    with np.errstate(over="ignore"):
+        out = np.zeros(max(0, len(codes) - n + 1), np.uint64)
+        for i in range(n):
+            out = (out + codes[i : len(codes) - n + 1 + i].astype(np.uint64) + np.uint64(1)) * _PRIME
+            out ^= out >> np.uint64(31)
+    return out
+
+
 class Matcher:
-    """Items of one block, indexed by their pieces."""
+    """The pieces of items, sorted by their keys. ``items``: id, words and how many of the words are no passage by
+    themselves but an instruction before it."""
 
-    def __init__(self, items: list[tuple[int, list[str]]], window: int, errors: int):
+    def __init__(self, items: list[tuple], window: int, errors: int):
         self.window, self.errors, self.piece = window, errors, window // (errors + 1)
-        self.items = items
-        self.codes: dict[str, int] = {}
-        self.index: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
-        self.coded: list[list[int]] = []
-        for i, (_, ws) in enumerate(items):
-            c = [self.codes.setdefault(w, len(self.codes)) for w in ws]
-            self.coded.append(c)
-            if len(c) >= window:
-                for p in range(len(c) - self.piece + 1):
-                    self.index[tuple(c[p : p + self.piece])].append((i, p))
-
-    def find(self, ws: list[str]) -> list[int]:
-        """Ids of the items that ``ws`` holds a passage of."""
-        get, piece, window = self.codes.get, self.piece, self.window
-        doc = [get(w, -1) for w in ws]
-        found: set[int] = set()
-        tried: set[tuple[int, int, int]] = set()
-        for q in range(len(doc) - piece + 1):
-            if doc[q] < 0 or doc[q + piece - 1] < 0:
+        self.ids = [i[0] for i in items]
+        self.heads = [i[2] if len(i) > 2 else 0 for i in items]
+        codes: dict[str, int] = {}
+        self.coded = np.fromiter((codes.setdefault(w, len(codes)) for i in items for w in i[1]), np.int32)
+        self.vocabulary = list(codes)
+        sizes = np.array([len(i[1]) for i in items], np.int64)
+        self.ends = np.cumsum(sizes)
+        at = np.arange(max(0, len(self.coded) - self.piece + 1))
+        owner = np.searchsorted(self.ends, at, "right")
+        at = at[(at + self.piece <= self.ends[owner]) & (sizes[owner] >= window)] if len(at) else at
+        keys = _keys(self.coded, self.piece)[at]
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.at = keys[order], at[order].astype(np.int32)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "codes"}
+
+    def find_all(self, texts: list[list[str]]) -> list[dict[int, bool]]:
+        """Of each text the items (by place) that it holds a passage of, and whether only together with the item's head."""
+        if not hasattr(self, "codes"):
+            self.codes = {w: i for i, w in enumerate(self.vocabulary)}
+        get, piece = self.codes.get, self.piece
+        flat: list[int] = []
+        begins = []
+        for ws in texts:
+            begins.append(len(flat))
+            flat += [get(w, -1) for w in ws]
+            flat.append(-1)
+        out: list[dict[int, bool]] = [{} for _ in texts]
+        if len(flat) < piece or not len(self.keys):
+            return out
+        codes = np.array(flat, np.int64)
+        known = np.cumsum(np.concatenate([[0], codes >= 0]))
+        whole = np.flatnonzero(known[piece:] - known[:-piece] == piece)
+        keys = _keys(codes, piece)[whole]
+        low = np.searchsorted(self.keys, keys, "left")
+        hit = self.keys[np.minimum(low, len(self.keys) - 1)] == keys
+        high = np.searchsorted(self.keys, keys[hit], "right")
+        doc = np.searchsorted(begins, whole[hit], "right") - 1
+        last, tried = -1, set()
+        for q, a, b, d in zip(whole[hit].tolist(), low[hit].tolist(), high.tolist(), doc.tolist()):
+            if d != last:
+                last, tried = d, set()
+            self._try(flat, q, begins[d], self.at[a:b], tried, out[d])
+        return out
+
+    def _try(self, flat: list[int], q: int, begin: int, places: np.ndarray, tried: set, found: dict[int, bool]) -> None:
+        window, errors = self.window, self.errors
+        for i, p in zip(np.searchsorted(self.ends, places, "right").tolist(), places.tolist()):
+            if found.get(i) is False:
                 continue
-            for i, p in self.index.get(tuple(doc[q : q + piece]), ()):
-                if i in found:
+            start, end = int(self.ends[i - 1]) if i else 0, int(self.ends[i])
+            for k in range(errors + 1):
+                s = p - k * self.piece
+                if s < start or s + window > end or (s, q - p) in tried:
+                    continue
+                head = s < start + self.heads[i]
+                if head and i in found:
                     continue
-                item = self.coded[i]
-                for k in range(self.errors + 1):
-                    s = p - k * piece
-                    if s < 0 or s + window > len(item) or (i, s, q - p) in tried:
-                        continue
-                    tried.add((i, s, q - p))
-                    low = max(0, q - (p - s) - self.errors)
-                    near = doc[low : q - (p - s) + window + self.errors]
-                    if distance(item[s : s + window], near, self.errors) <= self.errors:
-                        found.add(i)
+                tried.add((s, q - p))
+                wanted = self.coded[s : s + window].tolist()
+                near = flat[max(begin, q - (p - s) - errors) : q - (p - s) + window + errors]
+                there = set(near)
+                if sum(w in there for w in wanted) >= window - errors and distance(wanted, near, errors) <= errors:
+                    found[i] = head
+                    if not head:
                         break
-        return sorted(self.items[i][0] for i in found)
+
+    def find(self, ws: list[str]) -> list:
+        """Ids of the items that ``ws`` holds a passage of."""
+        return sorted(self.ids[i] for i, head in self.find_all([ws])[0].items() if not head)
 
 
 def lead(text: str | None, known: frozenset[str]) -> tuple[str, str] | None:
@@ -166,16 +225,23 @@ def instructions(items: DataFrame, text: str = "text", shared: int = SHARED) ->
         known |= new
 
 
-def blocks(items: DataFrame, item_id: str, text: str, known: frozenset[str], most: int) -> Iterator[list[tuple[int, list[str]]]]:
-    """The items' bodies in lists of at most ``most`` words (more only for one longer item); fetched one part at a time."""
-    held: list[tuple[int, list[str]]] = []
+def blocks(items: DataFrame, item_id: str, text: str, known: frozenset[str], most: int, heads: bool) -> Iterator[list[tuple]]:
+    """The items (id, words, words of the head) in lists of at most ``most`` words (more only for one longer item). The words
+    are told in the executors and fetched one part at a time. Without ``heads`` only the bodies."""
+
+    @F.pandas_udf("struct<words: string, head: int>")
+    def told(texts: pd.Series) -> pd.DataFrame:
+        both = [parts(t, known) for t in texts]
+        return pd.DataFrame({"words": [" ".join(h + b if heads else b) for h, b in both], "head": [len(h) if heads else 0 for h, _ in both]})
+
+    held: list[tuple] = []
     size = 0
-    for r in items.select(item_id, text).toLocalIterator():
-        ws = body(r[1], known)
+    for r in items.select(F.col(item_id).alias("i"), told(F.col(text)).alias("t")).select("i", "t.*").toLocalIterator():
+        ws = r.words.split(" ") if r.words else []
         if held and size + len(ws) > most:
             yield held
             held, size = [], 0
-        held.append((r[0], ws))
+        held.append((r.i, ws, r["head"]))
         size += len(ws)
     if held:
         yield held
@@ -190,8 +256,10 @@ def leaks(
     window: int = WINDOW,
     errors: int = ERRORS,
     block_words: int = BLOCK_WORDS,
+    heads: bool = False,
 ) -> DataFrame:
-    """(doc_id, item_id): every document that holds a passage of an item.
+    """(doc_id, item_id): every document that holds a passage of an item. With ``heads`` also the pairs found only by a
+    passage that reaches into the item's instructions, and a column by_head that is true for these.
 
     A passage is any ``window`` successive words of the item of which at most ``errors`` are changed or missing (a word
     put in between counts like one). Words compare as by ``words``. Instructions that items share are no part of
@@ -206,24 +274,33 @@ def leaks(
     known = instructions(items, text)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     item_kind = {f.name: f.dataType.simpleString() for f in items.schema.fields}[item_id]
-    schema = f"{doc_id} {kinds[doc_id]}, {item_id} {item_kind}"
+    schema = f"`{doc_id}` {kinds[doc_id]}, `{item_id}` {item_kind}" + (", by_head boolean" if heads else "")
     out = spark.createDataFrame([], schema)
-    for block in blocks(items, item_id, text, known, block_words):
-        out = out.union(docs.select(doc_id, text).mapInArrow(_search(block, window, errors, (doc_id, item_id)), schema))
+    for block in blocks(items, item_id, text, known, block_words, heads):
+        shared = spark.sparkContext.broadcast(Matcher(block, window, errors))
+        out = out.union(docs.select(doc_id, text).mapInArrow(_search(shared, heads, [doc_id, item_id, "by_head"]), schema))
     return out
 
 
-def _search(block: list[tuple[int, list[str]]], window: int, errors: int, names: tuple[str, str]):
+#: Documents looked up at once.
+TOGETHER = 64
+
+
+def _search(shared: Broadcast, heads: bool, names: list[str]):
     def search(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(block, window, errors)
+        matcher = shared.value
         for batch in source:
-            at, hit = [], []
-            texts = batch.column(1)
-            for i in range(batch.num_rows):
-                for item in matcher.find(words(texts[i].as_py())):
-                    at.append(i)
-                    hit.append(item)
+            at, hit, by = [], [], []
+            texts = enumerate(batch.column(1).to_pylist())
+            while group := [*islice(texts, TOGETHER)]:
+                for (i, _), found in zip(group, matcher.find_all([words(t) for _, t in group])):
+                    for item, head in sorted(found.items()):
+                        if heads or not head:
+                            at.append(i)
+                            hit.append(matcher.ids[item])
+                            by.append(head)
             ids = batch.column(0).take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(hit, pa.int64() if not hit or isinstance(hit[0], int) else pa.string())], names=list(names))
+            columns = [ids, pa.array(hit, pa.string() if hit and isinstance(hit[0], str) else pa.int64()), pa.array(by, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns[: 3 if heads else 2], names=names[: 3 if heads else 2])
 
     return search

@@ -14,9 +14,11 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_items(spark: SparkSession, d: str) -> DataFrame:
+    """Per item in how many documents it leaks, and in how many more a passage is held that reaches into its instructions."""
     items = table(spark, d, "eval_items")
-    n = leakage.leaks(table(spark, d, "documents"), items).groupBy("item_id").agg(F.count("*").alias("documents"))
-    return items.select("item_id", "task").join(n, "item_id").select("item_id", "task", "documents")
+    n = leakage.leaks(table(spark, d, "documents"), items, heads=True).groupBy("item_id")
+    n = n.agg(F.count_if(~F.col("by_head")).alias("documents"), F.count_if("by_head").alias("documents_by_head"))
+    return items.select("item_id", "task").join(n, "item_id").select("item_id", "task", "documents", "documents_by_head")
 
 
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:

@@ -106,3 +106,29 @@ def test_any_number_of_instructions_behind_one_another(spark):
     heads = ["Read it", "Think well", "Take your time", "Be brief", "Answer now"]
     items = [(i, ". ".join([*heads, " ".join(f"w{i}x{k}" for k in range(30))])) for i in range(5)]
     assert instructions(spark.createDataFrame(items, "item_id bigint, text string")) == {h.lower() for h in heads}
+
+
+@pytest.mark.parametrize("n", [5, 50])
+def test_many_questions_on_one_passage(spark, n):
+    passage = "Near the umber tower nine patient herons carry silver letters toward a sleeping ferry while nobody counts the lanterns."
+    items = [(i, f"{passage} What colour is lantern number {i}?") for i in range(n)]
+    docs = spark.createDataFrame([(1, passage), (2, "nothing at all")], "doc_id bigint, text string")
+    assert rows(leaks(docs, spark.createDataFrame(items, "item_id bigint, text string"))) == sorted([(1, i) for i in range(n)], key=repr)
+
+
+def test_four_instructions_match_nothing_and_are_told_apart(spark):
+    heads = "Read it well. Think before you write. Be brief and clear. Mark the one answer that you find to be best of all five."
+    items = [(i, f"{heads} " + " ".join(f"w{i}x{k}" for k in range(60))) for i in range(9)]
+    docs = spark.createDataFrame([(1, heads), (2, heads + " " + " ".join(f"w3x{k}" for k in range(4))), (3, " ".join(f"w4x{k}" for k in range(12)))], "doc_id bigint, text string")
+    items = spark.createDataFrame(items, "item_id bigint, text string")
+    assert rows(leaks(docs, items)) == [(3, 4)]
+    flagged = rows(leaks(docs, items, heads=True))
+    assert [r for r in flagged if not r[2]] == [(3, 4, False)] and {r[:2] for r in flagged if r[2]} == {(d, i) for d in (1, 2) for i in range(9)}
+
+
+def test_a_million_words_of_items_are_one_pass(spark):
+    items = spark.range(20_000).selectExpr("id item_id", "concat_ws(' ', transform(sequence(0, 49), k -> concat('w', id * 50 + k))) text")
+    docs = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(777_750 + 5, 777_750 + 20)))], "doc_id bigint, text string")
+    found = leaks(docs, items)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert rows(found) == [(1, 15_555)]
