@@ -40,6 +40,17 @@ _WORD = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"(?<=[.?!:])\s+")
 
 
+class _Plain(dict):
+    """Characters without accents and in their plain forms, told once each."""
+
+    def __missing__(self, point: int) -> str:
+        self[point] = "".join(c for c in unicodedata.normalize("NFKD", chr(point)) if not unicodedata.combining(c))
+        return self[point]
+
+
+_PLAIN = _Plain()
+
+
 def words(text: str | None) -> list[str]:
     """The words of a text without case, accents, punctuation, spacing and markup (tags, ``#c…#``, a literal ``\\n``,
     entities, soft hyphens); an apostrophe inside a word joins it. None and blank texts have none."""
@@ -53,7 +64,7 @@ def words(text: str | None) -> list[str]:
     if "#" in text:
         text = _COLOUR.sub(r"\1", text)
     if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+        text = text.translate(_PLAIN)
     return _WORD.findall(_QUOTE.sub("", text).casefold())
 
 
