@@ -3,7 +3,9 @@
 Each source's documents, in an order fixed by a hash, form a stream that is passed through as often as its share
 needs. Streams are cut into blocks of about equal tokens. Block k of a source of weight w is released at k / w and due
 at (k + 1) / w; earliest deadline first then interleaves the sources so that none is ever a whole block ahead of or
-behind its share. Only block numbers are scheduled on the driver, ``MAX_BLOCKS`` of them at most; documents stay put.
+behind its share. With every source's number of blocks a multiple of the same number, the schedule repeats itself:
+one frame of ``FRAME`` slots is scheduled on the driver, and a block's slot follows from its number, however many frames
+there are. Documents stay put.
 """
 
 from __future__ import annotations
@@ -11,39 +13,43 @@ from __future__ import annotations
 import base64
 import heapq
 import math
+import os
 from fractions import Fraction
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.session import Scratch, gather, ship
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: How the byte-level vocabularies split text before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Blocks of a schedule at most, and their least tokens.
-MAX_BLOCKS, LEAST_BLOCK = 100_000, 2048
+#: Tokens of a block, about; and slots of a frame, about.
+BLOCK, FRAME = 2048, 10_000
 #: Documents whose running sum one task makes, on average.
 RUN = 20_000
 
 
 @lru_cache(maxsize=4)
-def _encoding(path: str):
+def _encoding(name: str):
     import tiktoken
 
-    with open(path, "rb") as f:
+    with open(SparkFiles.get(name), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_count(text: Column, tokenizer: str = TOKENIZER) -> Column:
-    """Tokens of a text by a byte-level vocabulary in tiktoken's form; 0 for null and blank texts."""
+def token_count(text: Column, spark: SparkSession, tokenizer: str) -> Column:
+    """Tokens of a text by a byte-level vocabulary in tiktoken's form, a file of the driver that every executor is sent; 0
+    for null and blank texts."""
+    spark.sparkContext.addFile(tokenizer)
+    name = os.path.basename(tokenizer)
 
     @F.pandas_udf("bigint")
     def count(texts: pd.Series) -> pd.Series:
-        encoding = _encoding(tokenizer)
+        encoding = _encoding(name)
         return pd.Series([0 if t is None or not t.strip() else len(encoding.encode_ordinary(t)) for t in texts], dtype="int64")
 
     return count(text)
@@ -83,15 +89,25 @@ def schedule(blocks: dict[str, int]) -> list[tuple[str, int, int]]:
     return out
 
 
-def mix(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, max_blocks: int = MAX_BLOCKS) -> DataFrame:
+def frames(need: dict[str, int], block: int, frame: int) -> tuple[int, dict[str, int]]:
+    """How often the frame repeats, and how many of its blocks are each source's: in proportion to what is needed, one at
+    least. Blocks of a source have need / (repeats * blocks) tokens, which is about ``block``."""
+    every = sum(need.values())
+    repeats = max(1, every // (block * frame))
+    slots = max(1, math.ceil(every / (block * repeats)))
+    return repeats, {s: max(1, round(Fraction(n * slots, every))) for s, n in need.items() if n}
+
+
+def mix(docs: DataFrame, targets: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK, frame: int = FRAME) -> DataFrame:
     """(slot, start, doc_id, copy, source, tokens): the documents of the mixture, each as often as it is used.
 
     ``targets``: source, target_share, max_repeats. Reading by slot, then start (the place in its source's stream) gives
     the interleaved order. Sources compare as by ``source_name`` and are output as in ``targets``; of a source listed
     twice the first by name counts. Documents of no source or of one that is not listed, and null, blank and empty
     texts (no tokens), are not used; nor is a source without share. Every source is short of its share by less than
-    one document. The choice depends on the ids and the data alone, not on how they are partitioned. An empty table
-    on either side gives an empty result.
+    one document. The choice depends on the ids and the data alone, not on how they are partitioned. ``tokenizer`` is the
+    path of a vocabulary on the driver. Blocks have about ``block`` tokens whatever the total. An empty table on
+    either side gives an empty result.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -102,15 +118,15 @@ def mix(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str =
         wanted.setdefault(r.s, (r.source, r.target_share, r.max_repeats))
     names = spark.createDataFrame([(s, v[0]) for s, v in wanted.items()], "s string, name string")
     sized = docs.select(F.col(doc_id).alias("doc_id"), source_name(F.col("source")).alias("s"), F.col(text).alias("text"))
-    sized = sized.join(F.broadcast(names.select("s")), "s").select("doc_id", "s", token_count(F.col("text"), tokenizer).alias("tokens"), F.xxhash64(F.col("doc_id")).alias("h"))
+    sized = sized.join(F.broadcast(names.select("s")), "s").select("doc_id", "s", token_count(F.col("text"), spark, tokenizer).alias("tokens"), F.xxhash64(F.col("doc_id")).alias("h"))
     sized = scratch.save(sized.where("tokens > 0"), "sized")
     sums = {r.s: (int(r.t), r.n) for r in sized.groupBy("s").agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).collect()}
     need = plan({s: t for s, (t, _) in sums.items()}, {s: (v[1], v[2]) for s, v in wanted.items()})
 
-    length = max(LEAST_BLOCK, math.ceil(sum(need.values()) / max(1, max_blocks - len(need))))
-    rows = [(s, sums[s][0], n // sums[s][0], n % sums[s][0], -(-n // length)) for s, n in need.items()]
-    shape = spark.createDataFrame([r[:4] for r in rows], "s string, total bigint, passes bigint, rest bigint")
-    slots = spark.createDataFrame(schedule({r[0]: r[4] for r in rows}), "s string, block bigint, slot bigint")
+    repeats, share = frames(need, block, frame) if need else (1, {})
+    rows = [(s, sums[s][0], n // sums[s][0], n % sums[s][0], n / (repeats * share[s]), share[s]) for s, n in need.items() if n]
+    shape = spark.createDataFrame(rows, "s string, total bigint, passes bigint, rest bigint, length double, share bigint")
+    slots = spark.createDataFrame(schedule(share), "s string, within bigint, at_slot bigint")  # one frame
 
     # A source may hold a third of all documents: its running sum is made over runs of the hash order, each begun
     # with the sum of the runs before it.
@@ -126,9 +142,12 @@ def mix(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str =
     times = F.sequence(F.lit(1).cast("bigint"), F.col("passes") + again)
     used = placed.where(F.col("passes") + again > 0).withColumn("copy", F.explode(times))
     used = used.withColumn("start", (F.col("copy") - 1) * F.col("total") + F.col("at"))
-    used = used.withColumn("block", F.floor(F.col("start") / length).cast("bigint"))
-    out = used.join(F.broadcast(slots), ["s", "block"]).join(F.broadcast(names), "s")
-    return out.select("slot", "start", F.col("doc_id").alias(doc_id), F.col("copy").cast("int").alias("copy"), F.col("name").alias("source"), "tokens")
+    number = F.floor(F.col("start") / F.col("length")).cast("bigint")
+    used = used.withColumn("block", F.least(number, F.lit(repeats) * F.col("share") - 1))
+    used = used.withColumn("within", F.col("block") % F.col("share"))
+    out = used.join(F.broadcast(slots), ["s", "within"]).join(F.broadcast(names), "s")
+    slot = F.expr("block div share") * F.lit(sum(share.values())) + F.col("at_slot")
+    return out.select(slot.alias("slot"), "start", F.col("doc_id").alias(doc_id), F.col("copy").cast("int").alias("copy"), F.col("name").alias("source"), "tokens")
 
 
 def shares(mixture: DataFrame, targets: DataFrame, doc_id: str = "doc_id") -> DataFrame:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import garbling, leakage, mixing
 from palimpsest.sources.tables import table
 
+#: The public vocabulary that documents are measured with.
+TOKENIZER = os.environ.get("PALIMPSEST_TOKENIZER", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
+
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
@@ -22,11 +27,11 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), TOKENIZER)
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.shares(mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets")), table(spark, d, "mix_targets"))
+    return mixing.shares(mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), TOKENIZER), table(spark, d, "mix_targets"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
