@@ -3,12 +3,11 @@
 The catalogue holds, as a file's footer would, each path of a file with its type; it is small however large the files
 are. Lag and islands per feed, path and type give lifespans, whose starts and endings are the changes. A path that
 ends where another starts is a rename if their values agree; only files where both happen are read again for that.
-The renames are the alias table from which the consistent table's names and casts are made.
+The renames link lifespans to fields; the alias table made of them, by lifespan, gives the consistent table's names and casts.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from typing import Any
 
@@ -78,13 +77,17 @@ def flatten(rows: DataFrame, values: bool = False) -> DataFrame:
     return flat if values else flat.drop("value")
 
 
-def catalogue(flat: DataFrame, releases: DataFrame) -> DataFrame:
+def types(flat: DataFrame, releases: DataFrame) -> DataFrame:
+    """(feed, version_id, path, type, n, ord): how many values of which type each file has."""
+    order = broadcast_if_small(releases.select("version_id", "ord"))
+    return flat.groupBy("feed", "version_id", "path", "type").agg(F.count("*").alias("n")).join(order, "version_id")
+
+
+def catalogue(types: DataFrame) -> DataFrame:
     """(feed, version_id, path, type, ord): what each file has. A path's type in a file is that of most of its values, the
     first by name among equals; 'null' if all are null."""
-    order = broadcast_if_small(releases.select("version_id", "ord"))
-    count = flat.groupBy("feed", "version_id", "path", "type").agg(F.count("*").alias("n"))
     best = F.max(F.struct((F.col("type") != "null").alias("real"), "n", F.expr("-ascii(type)"), "type"))["type"]
-    return count.groupBy("feed", "version_id", "path").agg(best.alias("type")).join(order, "version_id")
+    return types.groupBy("feed", "version_id", "path", "ord").agg(best.alias("type"))
 
 
 def lifespans(catalogue: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -115,10 +118,13 @@ def field_changes(rows: DataFrame, releases: DataFrame) -> DataFrame:
     a file where all are null has none. Lines of a null feed or of a version that releases lack are left out, and
     a file without readable line is no file. Empty tables give an empty result.
     """
-    spark = rows.sparkSession
-    scratch = Scratch(spark)
-    rows = rows.where("feed is not null")
-    spans, files = lifespans(scratch.save(catalogue(flatten(rows), releases), "catalogue"))  # one reading of the lines
+    return _changes(rows.where("feed is not null"), releases, Scratch(rows.sparkSession))[0]
+
+
+def _changes(rows: DataFrame, releases: DataFrame, scratch: Scratch) -> tuple[DataFrame, ...]:
+    """The changes, and the tables they are made of: ``types``, files and renames."""
+    held = scratch.save(types(flatten(rows), releases), "types")  # the first reading of the lines
+    spans, files = lifespans(catalogue(held))
     spans, files = scratch.save(spans, "spans"), scratch.save(files, "files")
 
     starts = spans.where("born > 1").select("feed", "path", "type", F.col("born").alias("place"), F.lit(True).alias("start"))
@@ -136,7 +142,7 @@ def field_changes(rows: DataFrame, releases: DataFrame) -> DataFrame:
     new = new.select("feed", "place", F.lit("added").alias("change"), "path", F.lit("").alias("new_path"))
     both = renames.select("feed", "place", F.lit("renamed").alias("change"), "path", "new_path")
     every = retyped.unionByName(old).unionByName(new).unionByName(both)
-    return every.join(files.drop("files"), ["feed", "place"]).select("feed", "version_id", "change", "path", "new_path")
+    return every.join(files.drop("files"), ["feed", "place"]).select("feed", "version_id", "change", "path", "new_path"), held, files, renames
 
 
 def _renames(rows: DataFrame, files: DataFrame, added: DataFrame, removed: DataFrame, scratch: Scratch) -> DataFrame:
@@ -153,12 +159,8 @@ def _renames(rows: DataFrame, files: DataFrame, added: DataFrame, removed: DataF
     flat = flatten(rows.join(places.unionByName(before).distinct(), ["feed", "version_id"], "left_semi"), values=True)
     flat = flat.where("type <> 'null' and id <> 'null'").join(files.drop("files"), ["feed", "version_id"]).join(wanted, ["feed", "place", "path"], "left_semi")
 
-    @F.pandas_udf("binary")
-    def digest(text):  # noqa: ANN001, ANN202
-        return text.map(lambda t: hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=12).digest())
-
     # The values of paths that go or come, and no others, are kept: the second and last reading of the lines.
-    last = flat.select("feed", "place", "path", "id", "line_no", digest("value").alias("v"))
+    last = flat.select("feed", "place", "path", "id", "line_no", F.unhex(F.md5("value")).alias("v"))
     last = last.groupBy("feed", "place", "path", "id").agg(F.max(F.struct("line_no", "v"))["v"].alias("v"))
     last = scratch.save(last, "values")
     old = last.select("feed", (F.col("place") + 1).alias("place"), "path", "id", "v").join(went, ["feed", "place", "path"], "left_semi")
@@ -171,37 +173,61 @@ def _renames(rows: DataFrame, files: DataFrame, added: DataFrame, removed: DataF
     return ranked.where("r = 1 and s = 1").select("feed", "place", "path", "new_path")
 
 
-def aliases(changes: DataFrame, releases: DataFrame) -> DataFrame:
-    """feed, path, version_id, name: under which one name every path is read, that of its last rename. A feed's renames
-    are a list of a few rows, followed in release order."""
-    order = broadcast_if_small(releases.select("version_id", "ord"))
-    moves = changes.where("change = 'renamed'").join(order, "version_id")
-    held = moves.groupBy("feed").agg(F.sort_array(F.collect_list(F.struct(F.col("ord"), "path", "new_path"))).alias("moves"))
-    follow = lambda start: F.aggregate("moves", start, lambda at, m: F.when(m["path"] == at, m["new_path"]).otherwise(at))
-    old = held.select("feed", "moves", F.explode("moves.path").alias("path")).distinct()
-    return old.select("feed", "path", follow(F.col("path")).alias("name"))
+def aliases(types: DataFrame, files: DataFrame, renames: DataFrame) -> DataFrame:
+    """(feed, version_id, path, name): under which one name the path of a file is read.
+
+    A field lives on from file to file under its path, and by a rename under the new one; it is called as in its last
+    file. A path that comes again after it went is another field, which may share a name with the first unless their
+    files overlap: then all but the last of them are called name@version_id of their last file. All tables here are as
+    small as the catalogue."""
+    there = types.select("feed", "version_id", "path").distinct().join(files, ["feed", "version_id"])
+    w = Window.partitionBy("feed", "path").orderBy("place")
+    at = there.withColumn("gap", F.when(F.col("place") - F.lag("place").over(w) == 1, 0).otherwise(1))
+    at = at.withColumn("island", F.sum("gap").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = at.groupBy("feed", "path", "island").agg(F.min("place").alias("born"), F.max("place").alias("died"))
+    into = spans.select("feed", F.col("path").alias("new_path"), F.col("born").alias("place"), F.col("died").alias("until"))
+    moves = renames.join(into, ["feed", "new_path", "place"]).groupBy("feed")
+    moves = moves.agg(F.sort_array(F.collect_list(F.struct("place", "path", "new_path", "until"))).alias("moves"))
+    none = "array<struct<place:int,path:string,new_path:string,until:int>>"
+    spans = spans.join(moves, "feed", "left").withColumn("moves", F.coalesce("moves", F.array().cast(none)))
+    goes = lambda at, m: (m["path"] == at["name"]) & (m["place"] == at["end"] + 1)
+    step = lambda at, m: F.when(goes(at, m), F.struct(m["new_path"].alias("name"), m["until"].alias("end"))).otherwise(at)
+    last = F.aggregate("moves", F.struct(F.col("path").alias("name"), F.col("died").alias("end")), step)
+    spans = spans.select("feed", "path", "island", "born", last.alias("last")).select("feed", "path", "island", "born", "last.*")
+    fields = spans.groupBy("feed", "name", "end").agg(F.min("born").alias("begin"))
+    same = Window.partitionBy("feed", "name").orderBy("end")
+    fields = fields.withColumn("clash", F.col("begin") <= F.lag("end").over(same))
+    every = Window.partitionBy("feed", "name")
+    fields = fields.withColumn("clash", F.max(F.coalesce("clash", F.lit(False))).over(every) & (F.col("end") < F.max("end").over(every)))
+    ends = files.select("feed", F.col("place").alias("end"), F.col("version_id").alias("v"))
+    fields = fields.join(ends, ["feed", "end"]).select("feed", "name", "end", F.when(F.col("clash"), F.concat("name", F.lit("@"), "v")).otherwise(F.col("name")).alias("as"))
+    called = spans.join(fields, ["feed", "name", "end"]).select("feed", "path", "island", F.col("as").alias("name"))
+    return at.select("feed", "version_id", "path", "island").join(called, ["feed", "path", "island"]).drop("island")
 
 
 def consistent(rows: DataFrame, releases: DataFrame) -> DataFrame:
-    """All readable lines of all files as one table: feed, version_id, line_no, id, name, type, value.
+    """All readable lines of all files as one table: feed, version_id, line_no, id, name, type, value, and value as as_int,
+    as_float and as_bool where the type is int, float (or int) or bool.
 
-    name is the path's last name and type the narrowest that holds all the name's values in the feed: int, float (of
+    name is as in ``aliases`` and type the narrowest that holds all the name's values in the feed: int, float (of
     int and float), else string; value is cast to it as text (numbers of a float column with a fraction, strings
-    bare). Nulls keep their row. ``typed`` lays one feed out as columns.
+    bare). Nulls keep their row. ``typed`` lays one feed out as columns. Lines of a version that releases lack are left
+    out, as in ``field_changes``.
     """
-    spark = rows.sparkSession
-    scratch = Scratch(spark)
+    scratch = Scratch(rows.sparkSession)
     rows = rows.where("feed is not null")
-    names = scratch.save(aliases(field_changes(rows, releases), releases), "aliases")
-    flat = flatten(rows, values=True).join(names, ["feed", "path"], "left")
-    flat = flat.withColumn("name", F.coalesce("name", "path"))
-    kinds = flat.where("type <> 'null'").groupBy("feed", "name").agg(F.sort_array(F.collect_set("type")).alias("kinds"))
-    numbers = F.array_join("kinds", ",")
-    wide = F.when(F.size("kinds") == 1, F.col("kinds")[0]).when(numbers == "float,int", "float").otherwise("string")
-    typed_ = flat.join(kinds.select("feed", "name", wide.alias("as")), ["feed", "name"], "left")
+    _, held, files, renames = _changes(rows, releases, scratch)
+    names = aliases(held, files, renames)
+    kinds = held.where("type <> 'null'").join(names, ["feed", "version_id", "path"]).groupBy("feed", "name").agg(F.sort_array(F.collect_set("type")).alias("kinds"))
+    wide = F.when(F.size("kinds") == 1, F.col("kinds")[0]).when(F.array_join("kinds", ",") == "float,int", "float").otherwise("string")
+    names = names.join(kinds.select("feed", "name", wide.alias("as")), ["feed", "name"], "left").withColumn("as", F.coalesce("as", F.lit("null")))
+    names = scratch.save(names, "names")
+    flat = flatten(rows, values=True).join(broadcast_if_small(names), ["feed", "version_id", "path"])
     bare = F.when(F.col("type") == "string", F.from_json(F.concat(F.lit('{"v":'), "value", F.lit("}")), "v string")["v"]).otherwise(F.col("value"))
     cast = F.when(F.col("type") == "null", None).when((F.col("as") == "float") & (F.col("type") == "int"), F.concat("value", F.lit(".0"))).otherwise(bare)
-    return typed_.select("feed", "version_id", "line_no", "id", "name", F.coalesce("as", F.lit("null")).alias("type"), cast.alias("value"))
+    out = flat.select("feed", "version_id", "line_no", "id", "name", F.col("as").alias("type"), cast.alias("value"))
+    to = lambda name, kinds, sql: F.when(F.col("type").isin(*kinds), F.col("value").try_cast(sql)).alias(name)
+    return out.select("*", to("as_int", ["int"], "bigint"), to("as_float", ["int", "float"], "double"), to("as_bool", ["bool"], "boolean"))
 
 
 def typed(table: DataFrame, feed: str) -> DataFrame:

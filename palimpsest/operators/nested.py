@@ -35,7 +35,9 @@ def unwrap(value: Any) -> Any:
 
 
 def label(value: Any) -> Iterator[list]:
-    """Nodes of a document in pre-order: [pre, post, depth, type, name, path, value]; post counts up as nodes close."""
+    """Nodes of a document in pre-order: [pre, post, depth, type, name, path, value, whether it is a member of an object]; post
+    counts up as nodes close. An object's value are its members that are values: also those that are text, but for texts
+    that hold an object or a list."""
     nodes: list[list] = []
     closed = 0
     todo: list[tuple] = [("open", unwrap(value), "", "", 0)]
@@ -47,13 +49,16 @@ def label(value: Any) -> Iterator[list]:
             continue
         kind = "object" if isinstance(x, dict) else "list" if isinstance(x, list) else "value"
         pre = len(nodes)
+        if kind == "object":
+            x = {k: unwrap(v) for k, v in x.items()}
         flat = {k: v for k, v in x.items() if not isinstance(v, (dict, list))} if kind == "object" else x
-        nodes.append([pre, -1, depth, kind, name, path, None if kind == "list" else canonical(flat)])
+        nodes.append([pre, -1, depth, kind, name, path, None if kind == "list" else canonical(flat), what == "member"])
         todo.append(("close", pre, "", "", 0))
         if kind != "value":
             inner = x.items() if kind == "object" else enumerate(x)
             join = path + "/" if depth else ""
-            todo.extend(("open", unwrap(v), clean(str(k)), clean(f"{join}{k}"), depth + 1) for k, v in reversed(list(inner)))
+            kin = "member" if kind == "object" else "open"
+            todo.extend((kin, v if kind == "object" else unwrap(v), clean(str(k)), clean(f"{join}{k}"), depth + 1) for k, v in reversed(list(inner)))
     return iter(nodes)
 
 
@@ -65,15 +70,16 @@ def link(nodes: Iterator[list]) -> Iterator[list]:
         while around and around[-1][1] < post:
             around.pop()
         top = around[-1] if around else None
-        yield [*node[:6], top[0] if top else -1, top[5] if top else "", node[6]]
+        yield [*node[:6], top[0] if top else -1, top[5] if top else "", node[6], node[7]]
         if node[3] == "object":
             around.append(node)
 
 
-def shred(records: DataFrame, keys: list[str], data: str = "data", types: tuple[str, ...] = ("object", "list", "value")) -> DataFrame:
+def shred(records: DataFrame, keys: list[str], data: str = "data", types: tuple[str, ...] = ("object", "list", "value"), members: bool = True) -> DataFrame:
     """The nodes of the JSON texts in ``data``: the columns ``keys``, then pre, post, depth, type (object, list or value),
     name, path, parent_pre, parent_path (of the nearest object around it) and value (JSON text of a value; of an object,
-    the text of its members that are values, so that objects alone are complete flat tables; null for a list).
+    the text of its members that are values; null for a list). Without ``members`` values that are members of an object,
+    whose own row holds them, get no rows: what is left still holds every value once (``rebuild`` puts it together).
 
     path is the member names and 0-based list positions joined by ``/``, '' for the outermost. Objects and lists
     stored as text count as what they hold. Null, blank or unreadable data yield nothing; a record that is repeated
@@ -105,7 +111,7 @@ def shred(records: DataFrame, keys: list[str], data: str = "data", types: tuple[
                 except Unreadable:
                     continue
                 for node in link(label(value)):
-                    if node[3] in wanted:
+                    if node[3] in wanted and (members or node[3] != "value" or not node[9]):
                         held.append(i)
                         rows.append(node)
                         if len(rows) >= NODES:
@@ -121,3 +127,22 @@ def shred(records: DataFrame, keys: list[str], data: str = "data", types: tuple[
 def objects(nodes: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, path, parent_path): one row per object except the outermost; repeats of a record merge."""
     return nodes.where("type = 'object' and depth > 0").select(*keys, "path", "parent_path").distinct()
+
+
+def rebuild(nodes: list[tuple[str, str, str | None]]) -> Any:
+    """The document of its nodes (path, type, value) in pre-order, with or without rows of members; texts that held objects
+    or lists come back as what they held. Paths must be plain: no member name holds a ``/``."""
+    made: dict[str, Any] = {}
+    for path, kind, value in nodes:
+        x = {} if kind == "object" else [] if kind == "list" else read(value)
+        if kind == "object":
+            x.update(read(value))
+        made[path] = x
+        if path:
+            around, _, name = path.rpartition("/")
+            box = made[around]
+            if isinstance(box, list):
+                box.append(x)
+            else:
+                box[name] = x
+    return made.get("")

@@ -84,8 +84,9 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_tables(spark: SparkSession, d: str) -> DataFrame:
-    nodes = nested.shred(table(spark, d, "nested_records"), ["record_id", "kind", "key"], types=("object",))
-    return nodes.select("record_id", "kind", "key", "pre", "post", "depth", "path", "parent_pre", "parent_path", F.col("value").alias("fields"))
+    """Objects with their plain members, lists, and the values in lists: together every value once."""
+    nodes = nested.shred(table(spark, d, "nested_records"), ["record_id", "kind", "key"], members=False)
+    return nodes.select("record_id", "kind", "key", "type", "pre", "post", "depth", "path", "parent_pre", "parent_path", "value")
 
 
 QUERIES = {
@@ -95,6 +96,20 @@ QUERIES = {
 
 _RELEASES = "rel AS (SELECT version_id, label, row_number() OVER (ORDER BY coalesce(build_time::TIMESTAMPTZ, imported_at::TIMESTAMPTZ), version_id) AS ord FROM client_versions)"
 
+_DRIFT = f"""WITH {_RELEASES}, lines AS (SELECT feed, version_id, line_no, payload FROM raw_records JOIN rel USING (version_id) WHERE CASE WHEN json_valid(payload) THEN json_type(payload) = 'OBJECT' ELSE false END),
+leaf AS (SELECT feed, version_id, line_no, json_extract(payload, '$.id')::VARCHAR AS id, replace(substr(j.fullkey, 3), '.', '/') AS path,
+ CASE j.type WHEN 'UBIGINT' THEN 'int' WHEN 'BIGINT' THEN 'int' WHEN 'DOUBLE' THEN 'float' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'bool' WHEN 'ARRAY' THEN 'list' END AS type, j.value::VARCHAR AS v
+ FROM lines l, json_tree(l.payload) j WHERE j.type <> 'OBJECT' AND strpos(j.fullkey, '[') = 0),
+cat AS (SELECT feed, version_id, path, max(type) AS type FROM leaf GROUP BY ALL),
+f AS (SELECT feed, version_id, lag(version_id) OVER (PARTITION BY feed ORDER BY ord) AS old FROM (SELECT DISTINCT feed, version_id, ord FROM cat JOIN rel USING (version_id))),
+n AS (SELECT f.feed, f.version_id, path, type FROM f JOIN cat c ON c.feed = f.feed AND c.version_id = f.version_id WHERE old IS NOT NULL),
+o AS (SELECT f.feed, f.version_id, path, type FROM f JOIN cat c ON c.feed = f.feed AND c.version_id = f.old),
+went AS (SELECT * FROM o ANTI JOIN n USING (feed, version_id, path)), came AS (SELECT * FROM n ANTI JOIN o USING (feed, version_id, path)),
+val AS (SELECT feed, version_id, path, id, max_by(v, line_no) AS v FROM leaf WHERE type IS NOT NULL AND id IS NOT NULL GROUP BY ALL),
+met AS (SELECT w.feed, w.version_id, w.path, c.path AS new_path, count(*) AS met, count_if(a.v = b.v) AS equal FROM went w JOIN came c USING (feed, version_id) JOIN f USING (feed, version_id)
+ JOIN val a ON a.feed = w.feed AND a.version_id = f.old AND a.path = w.path JOIN val b ON b.feed = w.feed AND b.version_id = w.version_id AND b.path = c.path AND b.id = a.id GROUP BY ALL),
+rn AS (SELECT feed, version_id, path, new_path FROM met WHERE met = equal QUALIFY row_number() OVER (PARTITION BY feed, version_id, path ORDER BY equal DESC, new_path) = 1 AND row_number() OVER (PARTITION BY feed, version_id, new_path ORDER BY equal DESC, path) = 1)"""
+
 ORACLE: dict[str, str] = {
     "p1_found": """WITH RECURSIVE ids AS (SELECT DISTINCT try_cast(trim(id) AS BIGINT) AS id FROM skills),
 e AS (SELECT id, min(p) AS p FROM (SELECT try_cast(trim(id) AS BIGINT) AS id, try_cast(trim(unnest(map_keys(req))) AS BIGINT) AS p FROM skills) WHERE p IN (SELECT id FROM ids) GROUP BY id),
@@ -121,25 +136,40 @@ st AS (SELECT ev.*, CASE WHEN lower(trim(h.status)) = 'removed' THEN NULL ELSE c
 ch AS (SELECT *, lag(c) OVER w IS DISTINCT FROM c AS change FROM st WINDOW w AS (PARTITION BY kind, key ORDER BY ord)),
 pe AS (SELECT kind, key, version_id, c, lead(version_id) OVER (PARTITION BY kind, key ORDER BY ord) AS nxt FROM ch WHERE change)
 SELECT kind, key, version_id AS from_version_id, coalesce(nxt, 0) AS to_version_id FROM pe WHERE c IS NOT NULL""",
-    "p5_found": f"""WITH {_RELEASES}, lines AS (SELECT feed, version_id, line_no, payload FROM raw_records JOIN rel USING (version_id) WHERE CASE WHEN json_valid(payload) THEN json_type(payload) = 'OBJECT' ELSE false END),
-leaf AS (SELECT feed, version_id, line_no, json_extract(payload, '$.id')::VARCHAR AS id, replace(substr(j.fullkey, 3), '.', '/') AS path,
- CASE j.type WHEN 'UBIGINT' THEN 'int' WHEN 'BIGINT' THEN 'int' WHEN 'DOUBLE' THEN 'float' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'bool' WHEN 'ARRAY' THEN 'list' END AS type, j.value::VARCHAR AS v
- FROM lines l, json_tree(l.payload) j WHERE j.type <> 'OBJECT' AND strpos(j.fullkey, '[') = 0),
-cat AS (SELECT feed, version_id, path, max(type) AS type FROM leaf GROUP BY ALL),
-f AS (SELECT feed, version_id, lag(version_id) OVER (PARTITION BY feed ORDER BY ord) AS old FROM (SELECT DISTINCT feed, version_id, ord FROM cat JOIN rel USING (version_id))),
-n AS (SELECT f.feed, f.version_id, path, type FROM f JOIN cat c ON c.feed = f.feed AND c.version_id = f.version_id WHERE old IS NOT NULL),
-o AS (SELECT f.feed, f.version_id, path, type FROM f JOIN cat c ON c.feed = f.feed AND c.version_id = f.old),
-went AS (SELECT * FROM o ANTI JOIN n USING (feed, version_id, path)), came AS (SELECT * FROM n ANTI JOIN o USING (feed, version_id, path)),
-val AS (SELECT feed, version_id, path, id, max_by(v, line_no) AS v FROM leaf WHERE type IS NOT NULL AND id IS NOT NULL GROUP BY ALL),
-met AS (SELECT w.feed, w.version_id, w.path, c.path AS new_path, count(*) AS met, count_if(a.v = b.v) AS equal FROM went w JOIN came c USING (feed, version_id) JOIN f USING (feed, version_id)
- JOIN val a ON a.feed = w.feed AND a.version_id = f.old AND a.path = w.path JOIN val b ON b.feed = w.feed AND b.version_id = w.version_id AND b.path = c.path AND b.id = a.id GROUP BY ALL),
-rn AS (SELECT feed, version_id, path, new_path FROM met WHERE met = equal QUALIFY row_number() OVER (PARTITION BY feed, version_id, path ORDER BY equal DESC, new_path) = 1 AND row_number() OVER (PARTITION BY feed, version_id, new_path ORDER BY equal DESC, path) = 1)
+    "p5_found": f"""{_DRIFT}
 SELECT feed, version_id, 'renamed' AS change, path, new_path FROM rn UNION ALL SELECT feed, version_id, 'retyped', path, '' FROM n JOIN o USING (feed, version_id, path) WHERE n.type <> o.type
 UNION ALL SELECT feed, version_id, 'removed', path, '' FROM went ANTI JOIN rn USING (feed, version_id, path)
 UNION ALL SELECT feed, version_id, 'added', path, '' FROM came c WHERE NOT EXISTS (SELECT 1 FROM rn WHERE rn.feed = c.feed AND rn.version_id = c.version_id AND rn.new_path = c.path)""",
+    "p5_table": f"""{_DRIFT.replace("WITH ", "WITH RECURSIVE ", 1)},
+place AS (SELECT feed, version_id, row_number() OVER (PARTITION BY feed ORDER BY ord) AS place FROM (SELECT DISTINCT feed, version_id, ord FROM cat JOIN rel USING (version_id))),
+cell AS (SELECT feed, version_id, path, place FROM cat JOIN place USING (feed, version_id)),
+nxt AS (SELECT a.feed, a.path, a.place, coalesce(b.path, rn.new_path) AS to_path FROM cell a LEFT JOIN cell b ON b.feed = a.feed AND b.path = a.path AND b.place = a.place + 1
+ LEFT JOIN place p ON p.feed = a.feed AND p.place = a.place + 1 LEFT JOIN rn ON rn.feed = a.feed AND rn.version_id = p.version_id AND rn.path = a.path),
+walk(feed, path, place, name, fin) AS (SELECT feed, path, place, path, place FROM nxt WHERE to_path IS NULL
+ UNION ALL SELECT n.feed, n.path, n.place, w.name, w.fin FROM walk w JOIN nxt n ON n.feed = w.feed AND n.to_path = w.path AND n.place = w.place - 1),
+fld AS (SELECT feed, name, fin, min(place) AS begin FROM walk GROUP BY ALL),
+clash AS (SELECT *, begin <= lag(fin) OVER (PARTITION BY feed, name ORDER BY fin) AS c FROM fld),
+called AS (SELECT k.feed, k.name, k.fin, CASE WHEN bool_or(coalesce(c, false)) OVER (PARTITION BY k.feed, k.name) AND k.fin < max(k.fin) OVER (PARTITION BY k.feed, k.name) THEN k.name || '@' || p.version_id ELSE k.name END AS label
+ FROM clash k JOIN place p ON p.feed = k.feed AND p.place = k.fin),
+alias AS (SELECT w.feed, p.version_id, w.path, label FROM walk w JOIN called c ON c.feed = w.feed AND c.name = w.name AND c.fin = w.fin JOIN place p ON p.feed = w.feed AND p.place = w.place),
+vals AS (SELECT l.*, label FROM leaf l JOIN alias USING (feed, version_id, path)),
+kind AS (SELECT feed, label, CASE WHEN count(DISTINCT type) = 0 THEN 'null' WHEN count(DISTINCT type) = 1 THEN min(type) WHEN string_agg(DISTINCT type, ',' ORDER BY type) = 'float,int' THEN 'float' ELSE 'string' END AS as_type FROM vals GROUP BY ALL),
+cast_ AS (SELECT v.feed, version_id, line_no, coalesce(id, 'null') AS id, label AS name, as_type AS type, CASE WHEN v.type IS NULL THEN NULL WHEN as_type = 'float' AND v.type = 'int' THEN v || '.0' WHEN v.type = 'string' THEN json_extract_string(v, '$') ELSE v END AS value FROM vals v JOIN kind USING (feed, label))
+SELECT *, CASE WHEN type = 'int' THEN try_cast(value AS BIGINT) END AS as_int, CASE WHEN type IN ('int', 'float') THEN try_cast(value AS DOUBLE) END AS as_float, CASE WHEN type = 'bool' THEN try_cast(value AS BOOLEAN) END AS as_bool FROM cast_""",
     "p6_found": r"""WITH RECURSIVE w(kind, key, path, around, v) AS (SELECT DISTINCT kind, key, '', '', data::JSON FROM nested_records WHERE json_valid(data)
 UNION ALL SELECT w.kind, w.key, CASE WHEN w.path = '' THEN j.key ELSE w.path || '/' || j.key END, CASE WHEN json_type(w.v) = 'OBJECT' THEN w.path ELSE w.around END,
  CASE WHEN json_type(j.value) = 'VARCHAR' AND regexp_matches(json_extract_string(j.value, '$'), '^\s*[\[{]') AND json_valid(json_extract_string(j.value, '$')) THEN json_extract_string(j.value, '$')::JSON ELSE j.value END
  FROM w, json_each(w.v) j WHERE json_type(w.v) IN ('OBJECT', 'ARRAY'))
 SELECT DISTINCT kind, key, path, around AS parent_path FROM w WHERE path <> '' AND json_type(v) = 'OBJECT'""",
+    "p6_tables": r"""WITH RECURSIVE w(rid, kind, key, ord, depth, path, around, around_ord, inside, name, v) AS (SELECT record_id, kind, key, []::UBIGINT[], 0, '', '', NULL::UBIGINT[], '', '', data::JSON FROM nested_records WHERE json_valid(data)
+UNION ALL SELECT rid, kind, w.key, list_append(ord, j.id), depth + 1, CASE WHEN w.path = '' THEN j.key ELSE w.path || '/' || j.key END,
+ CASE WHEN json_type(w.v) = 'OBJECT' THEN w.path ELSE w.around END, CASE WHEN json_type(w.v) = 'OBJECT' THEN w.ord ELSE w.around_ord END, json_type(w.v), j.key,
+ CASE WHEN json_type(j.value) = 'VARCHAR' AND regexp_matches(json_extract_string(j.value, '$'), '^\s*[\[{]') AND json_valid(json_extract_string(j.value, '$')) THEN json_extract_string(j.value, '$')::JSON ELSE j.value END
+ FROM w, json_each(w.v) j WHERE json_type(w.v) IN ('OBJECT', 'ARRAY')),
+t AS (SELECT *, CASE json_type(v) WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'list' ELSE 'value' END AS type, row_number() OVER (PARTITION BY rid ORDER BY ord) - 1 AS pre FROM w),
+n AS (SELECT rid, up, count(*) AS below FROM (SELECT rid, unnest(list_transform(range(len(ord)), lambda i: ord[1:i])) AS up FROM w) GROUP BY ALL),
+f AS (SELECT rid, around_ord, string_agg(to_json(name)::VARCHAR || ':' || v::VARCHAR, ',' ORDER BY name) AS members FROM t WHERE inside = 'OBJECT' AND type = 'value' GROUP BY ALL)
+SELECT t.rid AS record_id, t.kind, t.key, t.type, t.pre, t.pre - t.depth + coalesce(below, 0) AS post, t.depth::INT AS depth, t.path, coalesce(a.pre, -1) AS parent_pre, t.around AS parent_path,
+ CASE t.type WHEN 'object' THEN '{' || coalesce(members, '') || '}' WHEN 'value' THEN t.v::VARCHAR END AS value
+FROM t LEFT JOIN t a ON a.rid = t.rid AND a.ord = t.around_ord LEFT JOIN n ON n.rid = t.rid AND n.up = t.ord LEFT JOIN f ON f.rid = t.rid AND f.around_ord = t.ord WHERE t.type <> 'value' OR t.inside <> 'OBJECT'""",
 }

@@ -56,3 +56,25 @@ def test_consistent_table(spark):
     assert got[1, "2", "s"] == ("string", None) and not any(k[2] == "p" for k in got)
     wide = drift.typed(table, "f")
     assert dict(wide.dtypes)["q"] == "double" and wide.where("version_id = 1 and id = 1").head().q == 1.0
+
+
+def test_names_that_are_used_again(spark):
+    """A path that comes again, and a rename into a name in use before, are fields of their own."""
+    files = {
+        ("f", 1): [{"id": 1, "a": 1, "x": "q"}], ("f", 3): [{"id": 1, "b": 1, "x": "q"}], ("f", 2): [{"id": 1, "b": 1, "a": "new0", "x": "q"}], ("f", 4): [{"id": 1, "a": "new0", "b": 1}],
+        ("g", 1): [{"id": 1, "p": 1, "x": 5}], ("g", 3): [{"id": 1, "q": 1, "x": 5}], ("g", 2): [{"id": 1, "x": 5}], ("g", 4): [{"id": 1, "q": 5}],
+    }
+    table = drift.consistent(make(spark, files), rel(spark)).where("name <> 'id'")
+    got = sorted((r.feed, r.version_id, r.name, r.type, r.value) for r in table.collect())
+    assert got == sorted([
+        ("f", 1, "b", "int", "1"), ("f", 3, "b", "int", "1"), ("f", 2, "b", "int", "1"), ("f", 2, "a", "string", "new0"), ("f", 4, "a", "string", "new0"),
+        ("f", 1, "x", "string", "q"), ("f", 3, "x", "string", "q"), ("f", 2, "x", "string", "q"), ("f", 4, "b", "int", "1"),
+        ("g", 1, "q@3", "int", "1"), ("g", 3, "q@3", "int", "1"), ("g", 1, "q", "int", "5"), ("g", 3, "q", "int", "5"), ("g", 2, "q", "int", "5"), ("g", 4, "q", "int", "5"),
+    ])
+
+
+def test_every_value_is_there_once(spark):
+    files = {("f", v): [{"id": i, "a": {"b": i * v, "c": None}, "l": [1, {"z": i}]} | ({"new": i} if v > 1 else {"old": i}) for i in range(20)] for v in (1, 3, 2, 4)}
+    table = drift.consistent(make(spark, files), rel(spark))
+    assert table.count() == sum(5 for lines in files.values() for _ in lines) == table.select("feed", "version_id", "line_no", "name").distinct().count()
+    assert {r.name for r in table.select("name").distinct().collect()} == {"id", "a/b", "a/c", "l", "new"}

@@ -52,3 +52,18 @@ def test_json_text():
                 continue
             assert text != bad and bad == "", text
     assert read('"\\ud800"') == "\ud800" and canonical("\ud800") == '"\\ud800"'
+
+
+def test_no_value_is_lost(spark):
+    """The rows without members, in pre-order, put together are the document again."""
+    docs = ['{"a":[1,2,[null,"x"]],"b":{"c":[],"d":{}},"e":"é","f":[{"g":[true]},"[1]"]}', "[1,[2,[3]]]", '"text"', "5", "{}", '{"t":"{\\"u\\":[7]}"}']
+    df = spark.createDataFrame([(str(i), d) for i, d in enumerate(docs)], "key string, data string")
+    nodes = nested.shred(df, ["key"], members=False)
+    for i, d in enumerate(docs):
+        got = [(r.path, r.type, r.value) for r in nodes.where(f"key = '{i}'").orderBy("pre").collect()]
+        want = read(d)
+        if i == 0:
+            want["f"][1] = [1]
+        if i == 5:
+            want["t"] = {"u": [7]}
+        assert nested.rebuild(got) == want, d
