@@ -29,14 +29,14 @@ def brute(pairs, ids):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_random_forests_with_circles(spark, seed):
+@pytest.mark.parametrize(("seed", "small"), [(1, 0), (2, 40), (3, None)])
+def test_random_forests_with_circles(spark, seed, small):
     rnd = random.Random(seed)
     ids = list(range(300))
     pairs = [(i, rnd.randrange(max(0, i - 3), i)) for i in ids[1:200]]  # long chains
     pairs += [(i, rnd.randrange(200, 300)) for i in range(200, 290)]  # circles
     n, e = tree(spark, pairs, ids)
-    got = {r.id: (r.parent, r.root, r.depth, r.path) for r in hierarchy(n, e, paths=True).collect()}
+    got = {r.id: (r.parent, r.root, r.depth, r.path) for r in hierarchy(n, e, paths=True, small=small).collect()}
     assert got == brute(pairs, set(ids))
 
 
@@ -44,7 +44,7 @@ def test_special_links(spark):
     pairs = [(1, 1), (2, 1), (3, 99), (4, None), (None, 4), (5, 6), (6, 5), (7, 8), (7, 9), (7, 8)]
     n, e = tree(spark, pairs, [1, 1, 2, 3, 4, 5, 6, 7, 8, 9, None])
     got = rows(hierarchy(n, e))
-    assert got == [(1, 1, 1, -1), (2, 1, 1, -1), (3, None, 3, 0), (4, None, 4, 0), (5, 6, 5, -1), (6, 5, 5, -1), (7, 8, 8, 1), (8, None, 8, 0), (9, None, 9, 0)]
+    assert got == rows(hierarchy(n, e, small=0)) == [(1, 1, 1, -1), (2, 1, 1, -1), (3, None, 3, 0), (4, None, 4, 0), (5, 6, 5, -1), (6, 5, 5, -1), (7, 8, 8, 1), (8, None, 8, 0), (9, None, 9, 0)]
 
 
 def test_empty(spark):
@@ -74,17 +74,29 @@ def brute_descendants(pairs, ids):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_descendants_in_and_below_circles(spark, seed):
+@pytest.mark.parametrize(("seed", "small"), [(1, 0), (2, None)])
+def test_descendants_in_and_below_circles(spark, seed, small):
     rnd = random.Random(seed)
     ids = list(range(400))
     pairs = [(i, i + 1) for i in range(40)] + [(40, 0), (41, 41), (42, 43), (43, 42)]  # circles of 41, one and two
     pairs += [(i, rnd.randrange(max(0, i - 4), i)) for i in range(44, 200)]  # long tails below them
     pairs += [(i, rnd.randrange(200, 400)) for i in range(200, 390)]
     n, e = tree(spark, pairs, ids)
-    out = hierarchy(n, e, paths=True).cache()
+    out = hierarchy(n, e, paths=True, small=small).cache()
     want = brute_descendants(pairs, set(ids))
     got = [tuple(r) for r in descendants(out).collect()]
     assert len(got) == len(want) and set(got) == want
     counts = {r.id: r.n_descendants for r in descendant_counts(out).collect()}
     assert counts == {i: sum(a == i for a, _, _ in want) for i in ids}
+
+
+def test_a_long_chain_and_a_star_in_one_task():
+    import pandas as pd
+
+    from palimpsest.operators.hierarchy import contract
+
+    n = 100_000
+    up = [None, *range(n - 1)] + [0] * n + [2 * n]
+    df = pd.DataFrame({"n": range(2 * n + 1), "p": pd.array(up, "Int64"), "w": 1, "least": range(2 * n + 1), "via": None})
+    got = contract(df.sample(frac=1.0, random_state=1), False).set_index("n")
+    assert got.loc[n - 1].depth == n - 1 and (got.loc[n : 2 * n - 1].depth == 1).all() and (got.root[: 2 * n] == 0).all() and got.loc[2 * n].depth == -1
