@@ -15,7 +15,7 @@ from palimpsest.functions.canon import json_fields, strict
 from palimpsest.operators import catalog, diff, extract, facets, search, timeline, versions
 from palimpsest.session import session
 from palimpsest.sources import ingest, nodes
-from palimpsest.sources.store import Store, orphan_blobs
+from palimpsest.sources.store import Store
 from palimpsest.sources.tables import release_order, releases
 
 
@@ -88,7 +88,8 @@ def run(a, spark):  # noqa: ANN001, ANN201, C901
         store.remove_version(v)
         return [f"deleted {label[v]} (#{v})"]
     if a.command == "gc":
-        return [f"{store.gc()} payloads dropped, {orphan_blobs(store.table('blobs'), store.table('records')).count()} left over"]
+        gone = store.gc()
+        return [f"{gone['objects']} objects ({gone['bytes']} bytes) and {gone['blobs']} payloads dropped"]
     if a.command == "baseline":
         if a.version:
             store.set_meta("baseline", label[pick(a.version)])

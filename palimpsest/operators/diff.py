@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.canon import is_text, json_fields
 from palimpsest.functions.text import kind_is
-from palimpsest.session import ship
+from palimpsest.session import Scratch, ship
 
 STATUSES = ("added", "removed", "modified")
 
@@ -68,16 +68,25 @@ def summary(changed: DataFrame, by: str = "kind") -> DataFrame:
     return changed.groupBy(by).agg(*(count(s) for s in STATUSES))
 
 
-def by_kind(changed: DataFrame) -> DataFrame:
-    """kind, changes: each kind's changes in key order. The list of a kind is one row, for reports of bounded changes."""
-    return changed.groupBy("kind").agg(F.sort_array(F.collect_list(F.struct("key", "status"))).alias("changes"))
+#: Changes of a kind that a list of them holds, unless another number is given.
+LISTED = 1000
+
+
+def by_kind(changed: DataFrame, most: int = LISTED) -> DataFrame:
+    """kind, total, changes: how many changes a kind has, and the first ``most`` of them in key order."""
+    lists = top_per(changed.select("kind", "key", "status"), "kind", max(1, most)).groupBy("kind", "total")
+    return lists.agg(F.sort_array(F.collect_list(F.struct("key", "status"))).alias("changes"))
 
 
 def top_per(changed: DataFrame, by: str, most: int) -> DataFrame:
-    """The first ``most`` rows by key of every group (0: all), with the number of rows the group has in all."""
-    ranked = changed.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy("key", *(["kind"] if by != "kind" else []))))
+    """The first ``most`` rows by key of every group, with their rank and the number of rows the group has in all; 0: all
+    rows, whose rank is null, since no group of any size is put into one task."""
+    changed = Scratch(changed.sparkSession).save(changed, "changed")  # it is read twice
     totals = changed.groupBy(by).agg(F.count("*").alias("total"))
-    return (ranked.where(F.col("rank") <= most) if most else ranked).join(totals, by)
+    if not most:
+        return changed.withColumn("rank", F.lit(None).cast("int")).join(totals, by)
+    ranked = changed.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy("key", *(["kind"] if by != "kind" else []))))
+    return ranked.where(F.col("rank") <= most).join(totals, by)
 
 
 def title(new: Column, old: Column) -> Column:

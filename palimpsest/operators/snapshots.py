@@ -21,6 +21,11 @@ def hash_bytes(hash_: Column) -> Column:
     return F.when(h.rlike("^[0-9a-f]{64}$"), F.unhex(h)).otherwise(other)
 
 
+def hash_text(h: Column) -> Column:
+    """What ``hash_bytes`` was made of, without case and outer blanks."""
+    return F.when(F.length(h) == 32, F.lower(F.hex(h))).otherwise(F.decode(F.substring(h, 35, 1 << 30), "utf-8"))
+
+
 def snapshot_changes(rows: DataFrame, steps: DataFrame) -> DataFrame:
     """(source, version_id, kind, key, status): records added, removed or modified against the version before.
 

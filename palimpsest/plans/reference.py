@@ -141,10 +141,10 @@ def diff_summary(spark, d):
     return diff.summary(diff.diff(_records(spark, d), *_pair(spark, d)))
 
 
-@query(f"WITH {_DIFF} SELECT kind, string_agg(key || ':' || status, ',' ORDER BY key, status) AS changes FROM d GROUP BY kind")
+@query(f"WITH {_DIFF} SELECT kind, count(*) AS total, string_agg(key || ':' || status, ',' ORDER BY key, status) FILTER (rank <= 1000) AS changes FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY key) AS rank FROM d) GROUP BY kind")
 def diff_by_kind_lists(spark, d):
     lists = diff.by_kind(diff.diff(_records(spark, d), *_pair(spark, d)))
-    return lists.select("kind", F.array_join(F.transform("changes", lambda c: F.concat(c["key"], F.lit(":"), c["status"])), ",").alias("changes"))
+    return lists.select("kind", "total", F.array_join(F.transform("changes", lambda c: F.concat(c["key"], F.lit(":"), c["status"])), ",").alias("changes"))
 
 
 @query(f"WITH {_DIFF} SELECT kind, key, status, rank, total FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY key)::INT AS rank, count(*) OVER (PARTITION BY kind) AS total FROM d) WHERE rank <= 50")
@@ -213,7 +213,7 @@ s AS (SELECT g.*, r.version_id IS NOT NULL AS there, r.hash, lag(r.version_id IS
 SELECT kind, key, version_id, CASE WHEN there AND NOT coalesce(was, false) THEN 'added' WHEN NOT there THEN 'removed' ELSE 'modified' END AS status
 FROM s WHERE there <> coalesce(was, false) OR (there AND hash IS DISTINCT FROM old)""")
 def history_events(spark, d):
-    found = timeline.events(_records(spark, d), releases(spark, table(spark, d, "client_versions")))
+    found = timeline.events(_records(spark, d), releases(spark, table(spark, d, "client_versions")), table(spark, d, "records"))
     return found.select("kind", "key", "version_id", "status")
 
 

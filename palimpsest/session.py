@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 import zipfile
@@ -32,10 +31,13 @@ def session(app: str = "palimpsest", master: str | None = None, **conf: str) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset, a temporary one (local runs and tests)."""
+    """The folder of ``spark.checkpoint.dir``; only where that is unset, a temporary one, and that in local runs alone: the
+    executors of a cluster have no folder of this machine."""
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
         context.setCheckpointDir(found)
         found = context.getCheckpointDir()
@@ -77,6 +79,12 @@ def broadcast_if_small(df: DataFrame, most: int = DIMENSION_ROWS) -> DataFrame:
     return F.broadcast(df) if small(df, most) else df
 
 
+def local_if_small(df: DataFrame, most: int = DIMENSION_ROWS) -> DataFrame:
+    """``df`` worked out once and broadcast if its size allows it; else as it is."""
+    rows = df.limit(most + 1).collect()
+    return df if len(rows) > most else F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
 def gather(df: DataFrame, most: int = DIMENSION_ROWS) -> list:
     """The rows of a dimension table, refusing one that is too large to be a dimension."""
     rows = df.limit(most + 1).collect()
@@ -96,7 +104,6 @@ def ship(spark: SparkSession) -> None:
         for p in sorted(here.rglob("*.py")):
             z.write(p, Path(here.name) / p.relative_to(here))
     context.addPyFile(str(target))
-    os.remove(target) if not context.master.startswith(("local", "yarn", "k8s", "spark", "mesos")) else None
     context._palimpsest_shipped = True
 
 

@@ -17,15 +17,15 @@ from palimpsest.session import ship
 INCLUDE = ("Data/", "MapleStory.exe")
 
 
-def scan(spark: SparkSession, root: str, include: tuple[str, ...] = INCLUDE, prefix: str = "") -> DataFrame:
-    """(path, size, hash): the files below ``root`` whose relative path begins with one of ``include``, any if that is empty.
+def scan(spark: SparkSession, root: str, include: tuple[str, ...] = INCLUDE, prefix: str = "", content: bool = False) -> DataFrame:
+    """(path, size, hash) and, if wanted, content: the files below ``root`` whose relative path begins with one of ``include``, any if that is empty.
     The hash is the SHA-256 of the content. A file is one row of its task; Spark's limit of 2 GB a file holds."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     path = relative_path(F.col("path"), root)
     wanted = F.lit(not include)
     for i in include:
         wanted = wanted | (path.startswith(i) if i.endswith("/") else path == i)
-    return files.where(wanted).select(F.concat(F.lit(prefix), path).alias("path"), F.col("length").alias("size"), F.sha2("content", 256).alias("hash"))
+    return files.where(wanted).select(F.concat(F.lit(prefix), path).alias("path"), F.col("length").alias("size"), F.sha2("content", 256).alias("hash"), *(["content"] if content else []))
 
 
 def file_records(files: DataFrame) -> DataFrame:

@@ -26,10 +26,10 @@ def import_client(store: Store, client: str, label: str, channel: str = "live",
     a, b = _plain(client), _plain(store.root)
     if a == b or a.startswith(b + "/") or b.startswith(a + "/"):
         raise ValueError("the client and the store must not lie in one another")
-    found = files.scan(store.spark, client)
+    whole = files.scan(store.spark, client, content=True)
     if patchdata:
-        found = found.unionByName(files.scan(store.spark, patchdata, (), "patchdata/"))
-    found = found.cache()
+        whole = whole.unionByName(files.scan(store.spark, patchdata, (), "patchdata/", True))
+    found = whole.drop("content").cache()
     try:
         if found.where("path = 'Data/Base/Base.wz'").head() is None:
             raise ValueError(f"{client} has no Data/Base/Base.wz")
@@ -40,6 +40,7 @@ def import_client(store: Store, client: str, label: str, channel: str = "live",
         first = store.meta("baseline")
         version = store.insert_version(label, channel, client, made.hash if made else None, built, note)
         try:
+            store.snapshot(label, store.ingest(whole))
             store.replace_records(version, "import", files.file_records(found))
         except Exception:
             store.remove_version(version)

@@ -169,7 +169,7 @@ def test_store(spark, store):
     store.replace_records(b, "strings", make([("k", "1", '{"a":3}')]))
     assert [r.record_count for r in store.table("extractions").orderBy("version_id").collect()] == [2, 1] and store.meta("baseline") == "a"
     assert store.replace_records(b, "strings", make([])) == 0 and store.table("records").where(F.col("version_id") == b).count() == 0
-    assert store.gc() == 1 and store.table("blobs").count() == 1
+    assert store.gc() == {"objects": 0, "bytes": 0, "blobs": 1} and store.table("blobs").count() == 1
     store.remove_version(a)
     assert store.table("records").count() == 0 and store.meta("baseline") is None and [r.label for r in store.table("versions").collect()] == ["b"]
     store.set_meta("layout", "99")
