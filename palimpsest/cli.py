@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from palimpsest import render
 from palimpsest.functions import jobs
 from palimpsest.functions.canon import json_fields, strict
-from palimpsest.operators import catalog, diff, extract, facets, search, timeline, versions
+from palimpsest.operators import catalog, diff, extract, facets, report, search, timeline, versions
 from palimpsest.session import session
 from palimpsest.sources import ingest, nodes
 from palimpsest.sources.store import Store
@@ -112,10 +112,9 @@ def run(a, spark):  # noqa: ANN001, ANN201, C901
         found = diff.attach(search.with_key(found, a.key), blobs, "blob_hash", "data").orderBy("kind", "key", "ord")
         w = F.lag("data").over(_by_record())
         found = found.withColumn("fields", F.when(F.col("status") == "modified", json_fields(w, F.col("data"))).otherwise(F.array())).orderBy("kind", "key", "ord")
-        return [json.dumps(r.asDict(recursive=True), ensure_ascii=False) for r in found.toLocalIterator()] if a.json else render.history_text(found.toLocalIterator(), label)
+        return [json.dumps(r.asDict(recursive=True), ensure_ascii=False) for r in found.toLocalIterator()] if a.json else report.stream(report.history(found, have))
     if a.command == "search":
-        rows = search.search(records, blobs, pick(a.version), a.text, a.kind, a.limit).collect()
-        return [f"{r.kind} {r.key}  {render.cut(r.data, 100)}" for r in rows]
+        return report.stream(report.hits(search.search(records, blobs, pick(a.version), a.text, a.kind, a.limit), a.limit))
     if a.command in ("ls", "show"):
         tree = spark.read.parquet(a.nodes).where(F.col("version_id") == pick(a.version))
         if a.command == "ls":
@@ -131,9 +130,12 @@ def run(a, spark):  # noqa: ANN001, ANN201, C901
         rows = jobs.named(catalog.labelled(catalog.skills(records, blobs, pick(a.version))), "job").withColumn("category", F.lit("skills")).withColumn("detail", F.lit("data"))
         rows = rows.where(chosen.condition() & (F.lit(a.all) | catalog.is_listed())).orderBy("job", "id")
         return [f"{r.id:<10} {r.label:<32} {r.job_name:<28} max {r.max_level}" for r in rows.toLocalIterator()]
-    rows = catalog.labelled(catalog.skills(records, blobs, pick(a.version)).where(F.col("id") == a.id)).collect()
+    found = catalog.labelled(catalog.skills(records, blobs, pick(a.version)).where(F.col("id") == a.id))
+    rows = found.collect()
     if not rows:
         raise KeyError(f"no skill {a.id}")
+    if not a.json:
+        return report.stream(report.skill(found))
     return [json.dumps(rows[0].asDict(recursive=True), indent=2, ensure_ascii=False)]
 
 
@@ -162,8 +164,8 @@ def _diff(a, store, have, base, pick, label):  # noqa: ANN001, ANN202
     if a.format == "json":
         rows = found.orderBy("kind", "key").select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("line"))
         return (r.line for r in rows.toLocalIterator())
-    report = render.changes_markdown if a.format == "markdown" else render.changes_text
-    return report(found, label[old], label[new], a.limit)
+    form = report.MARKDOWN if a.format == "markdown" else report.TEXT
+    return report.stream(report.changes(found, label[old], label[new], a.limit, form))
 
 
 if __name__ == "__main__":

@@ -115,3 +115,13 @@ def find(selector: str) -> int | None:
     if digits.isascii() and digits.isdigit() and int(digits) < 1 << 32:
         return int(digits)
     return next((i for i, name, _, _ in JOBS if name.lower() == selector.lower()), None)
+
+
+def selected(col: Column, dimension_: DataFrame) -> Column:
+    """``find`` of a column of selectors; ``dimension_`` is small enough to be a literal."""
+    from palimpsest.functions.text import u32
+
+    names = F.lit(None).cast("bigint")
+    for r in dimension_.collect():
+        names = F.when(F.lower(col) == r["name"].lower(), F.lit(r["id"])).otherwise(names)
+    return F.coalesce(u32(col), names)

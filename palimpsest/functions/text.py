@@ -137,6 +137,41 @@ def value_text(col: Column) -> Column:
     )
 
 
+def key_values(data: Column) -> Column:
+    """A JSON object as a list of name and text for reading, by name; objects inside are how many entries they have."""
+    entry = lambda k, v: F.when(v.startswith("{"), F.concat(F.size(F.from_json(v, "map<string,string>")).cast("string"), F.lit(" entries"))).otherwise(value_text(v))
+    names = F.array_sort(F.json_object_keys(data))
+    raw = F.from_json(data, "map<string,variant>")
+    return F.transform(names, lambda k: F.struct(k.alias("name"), entry(k, F.to_json(raw[k])).alias("text")))
+
+
+def url_query(col: Column) -> Column:
+    """Percent-encoded but for ASCII letters and digits."""
+    out = F.url_encode(col)
+    for plain, code in (("+", "%20"), ("*", "%2A"), ("-", "%2D"), (".", "%2E"), ("_", "%5F")):
+        out = F.replace(out, F.lit(plain), F.lit(code))
+    return out
+
+
+def url_path(col: Column) -> Column:
+    """A path whose parts are percent-encoded where a part may not hold the character; ``/`` stays."""
+    coded = lambda c: F.when(c.rlike(r'[^!$-;=@-_a-z|~]|[%?\x60]'), F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))).otherwise(c)
+    return F.array_join(F.transform(F.split(col, ""), coded), "")
+
+
+def listed(col: Column) -> Column:
+    """The values of a list written with commas, without blanks around them and empty ones."""
+    return F.filter(F.transform(F.split(col, ","), F.trim), lambda x: x != "")
+
+
+def toggled(col: Column, value: Column) -> Column:
+    """A list written with commas without ``value`` where it was there first, else with it at the end."""
+    items = listed(col)
+    at = F.array_position(items, value).cast("int")
+    rest = F.concat(F.slice(items, F.lit(1), F.greatest(at - 1, F.lit(0))), F.slice(items, F.greatest(at, F.lit(0)) + 1, F.size(items)))
+    return F.array_join(F.when(at > 0, rest).otherwise(F.concat(items, F.array(value))), ",")
+
+
 _CODE = re.compile(r"\\n|#[cbrekn]?|[<>&\"]")
 _ENTITY = {"<": "&lt;", ">": "&gt;", "&": "&amp;", '"': "&quot;"}
 

@@ -91,13 +91,28 @@ def similarity(diff: Column) -> Column:
     return F.when(every == 0, F.lit(1.0)).otherwise(same / every)
 
 
-def display(diff: Column, old: Column, new: Column) -> Column:
-    """How a report shows an edited text: marked words from 40 characters before the first change on, 140 at most,
-    if a third or so (0.3) stays; else both texts, 60 characters each."""
-    from palimpsest.functions.text import preview, truncated
+#: Share of two texts that must stay for their words to be marked. A fixed value.
+ALIKE = 0.3
+
 
+def marked(diff: Column) -> tuple[Column, Column, Column]:
+    """``inline``, where its first mark is (1 if there is none), and ``similarity``."""
     line = inline(diff)
     first = F.least(*(F.when(F.instr(line, m) > 0, F.instr(line, m)) for m in ("[-", "{+")))
-    start = F.greatest(F.coalesce(first, F.lit(1)) - 41, F.lit(1))
-    near = F.concat(F.when(start > 1, "…").otherwise(""), truncated(F.substring(line, start, F.length(line)), 140))
-    return F.when(similarity(diff) >= 0.3, near).otherwise(F.concat(preview(old, 60), F.lit(" -> "), preview(new, 60)))
+    return line, F.coalesce(first, F.lit(1)), similarity(diff)
+
+
+def around(line: Column, first: Column) -> Column:
+    """A line from 40 characters before ``first`` on, 140 of them at most."""
+    from palimpsest.functions.text import truncated
+
+    start = F.greatest(first - 41, F.lit(1))
+    return F.concat(F.when(start > 1, "…").otherwise(""), truncated(F.substring(line, start, F.length(line)), 140))
+
+
+def display(diff: Column, old: Column, new: Column) -> Column:
+    """How a report shows an edited text: its marked words if enough of it stays, else both texts, 60 characters each."""
+    from palimpsest.functions.text import preview
+
+    line, first, alike = marked(diff)
+    return F.when(alike >= ALIKE, around(line, first)).otherwise(F.concat(preview(old, 60), F.lit(" -> "), preview(new, 60)))

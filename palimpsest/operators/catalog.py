@@ -51,14 +51,17 @@ def skill_fields(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_read(t) or _read("{}") for t in texts], columns=SKILL.names)
 
 
-def skills(records: DataFrame, blobs: DataFrame, version_id: int) -> DataFrame:
-    """id, job, name, desc, max_level, req, invisible, has_icon, levels of a version's skills; levels as JSON texts."""
+def skills(records: DataFrame, blobs: DataFrame, version_id: int | None = None) -> DataFrame:
+    """id, job, name, desc, max_level, req, invisible, has_icon, levels of a version's skills; levels as JSON texts. Of no
+    version: the skills of all, with version_id."""
     ship(records.sparkSession)
-    rows = records.where((F.col("version_id") == version_id) & (F.col("kind") == "skill"))
-    data = rows.join(blobs.select(F.col("hash").alias("blob_hash"), "data"), "blob_hash", "left").select(F.col("key").alias("id"), skill_fields("data").alias("s"))
+    rows = records.where(F.col("kind") == "skill")
+    rows = rows if version_id is None else rows.where(F.col("version_id") == version_id)
+    kept = ["version_id"] if version_id is None else []
+    data = rows.join(blobs.select(F.col("hash").alias("blob_hash"), "data"), "blob_hash", "left").select(*kept, F.col("key").alias("id"), skill_fields("data").alias("s"))
     number = F.coalesce(jobs.of_skill(u32(F.col("id"))), F.lit(0))
     return data.select(
-        "id", F.coalesce("s.job", number).alias("job"), "s.name", "s.desc", "s.max_level", "s.req", "s.invisible", F.col("s.icon").alias("has_icon"), "s.levels"
+        *kept, "id", F.coalesce("s.job", number).alias("job"), "s.name", "s.desc", "s.max_level", "s.req", "s.invisible", F.col("s.icon").alias("has_icon"), "s.levels"
     )
 
 
@@ -78,6 +81,28 @@ def per_job(df: DataFrame) -> DataFrame:
     return df.groupBy("job").agg(F.count("*").alias("skills"), F.count_if(is_listed()).alias("listed"))
 
 
+def index(df: DataFrame) -> DataFrame:
+    """branch, job, job_name, advancement, listed: the jobs that have a listed skill, with how many."""
+    counts = df.where(is_listed()).groupBy("job").agg(F.count("*").alias("listed"))
+    return jobs.named(counts, "job").select("branch", "job", "job_name", "advancement", "listed")
+
+
+def job_page(df: DataFrame, job: int) -> DataFrame:
+    """The skills of a job: id, label, max_level, listed, and the names and levels of what each needs."""
+    return needs(df).where(F.col("job") == job).select("id", "label", "max_level", "listed", "needs")
+
+
+def needs(df: DataFrame) -> DataFrame:
+    """id, job, label, max_level, listed and needs (a list of name and level, by id) of skills; the name of a skill that is not
+    there is its id."""
+    all_ = labelled(df).withColumn("listed", is_listed())
+    names = all_.select(F.col("id").alias("need"), F.col("label").alias("name"))
+    each = all_.select("id", F.explode("req").alias("need", "level")).join(names, "need", "left")
+    each = each.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("need", F.coalesce("name", "need").alias("name"), "level"))).alias("n"))
+    told = F.coalesce(F.transform("n", lambda x: F.struct(x["name"].alias("name"), x["level"].alias("level"))), F.array().cast("array<struct<name:string,level:bigint>>"))
+    return all_.join(each, "id", "left").select("id", "job", "label", "max_level", "listed", told.alias("needs"))
+
+
 def stat_names(df: DataFrame) -> DataFrame:
     """id, stats: the names of a skill's stats over all levels, sorted, without text."""
     names = F.flatten(F.transform(F.map_values("levels"), lambda m: F.map_keys(m)))

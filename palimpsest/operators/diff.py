@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.canon import is_text, json_fields
-from palimpsest.functions.text import kind_is
+from palimpsest.functions.text import kind_is, ranges
 from palimpsest.session import Scratch, ship
 
 STATUSES = ("added", "removed", "modified")
@@ -82,11 +82,31 @@ def top_per(changed: DataFrame, by: str, most: int) -> DataFrame:
     """The first ``most`` rows by key of every group, with their rank and the number of rows the group has in all; 0: all
     rows, whose rank is null, since no group of any size is put into one task."""
     changed = Scratch(changed.sparkSession).save(changed, "changed")  # it is read twice
-    totals = changed.groupBy(by).agg(F.count("*").alias("total"))
+    return ranked(changed, by, most).join(changed.groupBy(by).agg(F.count("*").alias("total")), by)
+
+
+def ranked(changed: DataFrame, by: str, most: int) -> DataFrame:
+    """The first ``most`` rows by key of every group, with their rank; 0: all rows, whose rank is null."""
     if not most:
-        return changed.withColumn("rank", F.lit(None).cast("int")).join(totals, by)
-    ranked = changed.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy("key", *(["kind"] if by != "kind" else []))))
-    return ranked.where(F.col("rank") <= most).join(totals, by)
+        return changed.withColumn("rank", F.lit(None).cast("int"))
+    place = F.row_number().over(Window.partitionBy(by).orderBy("key", *(["kind"] if by != "kind" else [])))
+    return changed.withColumn("rank", place).where(F.col("rank") <= most)
+
+
+def has_status(statuses: list[str]) -> Column:
+    """Whether a change has one of the statuses; names that are none count for nothing, and without any all pass."""
+    known = [s for s in statuses if s in STATUSES]
+    return F.col("status").isin(known) if known else F.lit(True)
+
+
+def chip_counts(changed: DataFrame, facets: Column, statuses: list[str], hide_text: bool = False) -> DataFrame:
+    """raw, text_only, added, removed, modified, shown of changes with facets and fields, in one pass: how many raw ones there
+    are in all; of those that pass ``facets`` the ones in texts alone (with a chosen status), of each status (whichever
+    are chosen), and those that are shown."""
+    text, status = is_text_only(), has_status(statuses)
+    seen = ~text if hide_text else F.lit(True)
+    each = (F.count_if(facets & (F.col("status") == s) & seen).alias(s) for s in STATUSES)
+    return changed.agg(F.count_if(F.col("detail") == "raw").alias("raw"), F.count_if(facets & text & status).alias("text_only"), *each, F.count_if(facets & status & seen).alias("shown"))
 
 
 def title(new: Column, old: Column) -> Column:
@@ -108,3 +128,25 @@ def grouped_fields(rows: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set("level")).alias("levels"), F.count("*").alias("n"), first.alias("first")
     )
     return g.select("kind", "key", "field", "levels", "n", "first.path", "first.old", "first.new")
+
+
+def field_table(rows: DataFrame) -> DataFrame:
+    """(kind, key, label, levels, old, new): the rows a table of changed fields shows. A field that changes on three levels or
+    more is one row, called by its levels and showing the change of the lowest; on fewer, each level is a row."""
+    parts = [F.regexp_extract("path", r"^levels/\+?([0-9]{1,9})/(.*)$", i) for i in (1, 2)]
+    told = rows.withColumn("level", F.when(parts[0] != "", parts[0].cast("int"))).withColumn("field", F.when(parts[0] != "", parts[1]).otherwise(F.col("path")))
+    groups = told.where("level is not null").groupBy("kind", "key", "field").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("level")).alias("all"), F.min_by(F.struct("old", "new"), "level").alias("first"))
+    many = groups.where("n >= 3")
+    label = F.format_string("Lv %s · %s (%d levels)", ranges(F.col("all")), F.col("field"), F.col("n"))
+    out = many.select("kind", "key", label.alias("label"), F.col("all").alias("levels"), "first.old", "first.new")
+    few = told.where("level is not null").join(groups.where("n < 3").select("kind", "key", "field"), ["kind", "key", "field"], "left_semi")
+    few = few.select("kind", "key", F.format_string("Lv %d · %s", "level", "field").alias("label"), F.array("level").alias("levels"), "old", "new")
+    rest = told.where("level is null").select("kind", "key", F.col("path").alias("label"), F.array().cast("array<int>").alias("levels"), "old", "new")
+    return out.unionByName(few).unionByName(rest)
+
+
+def card(changed: DataFrame, old: int, new: int) -> DataFrame:
+    """kind, key, status, side and data: in which version a change is looked at, the old one if the record was removed there, and
+    its payload in it."""
+    gone = F.col("status") == "removed"
+    return changed.select("kind", "key", "status", F.when(gone, old).otherwise(new).alias("side"), F.when(gone, F.col("old_data")).otherwise(F.col("new_data")).alias("data"))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import jobs
 from palimpsest.functions.text import u32
+from palimpsest.session import Scratch
 
 # The categories in their order, with their names; which kinds and which top folders belong to them.
 CATEGORIES = {"skills": "Skills", "equipment": "Equipment", "items": "Items", "monsters": "Monsters", "npcs": "NPCs", "maps": "Maps", "quests": "Quests", "other": "Other"}
@@ -115,6 +116,29 @@ def drill_sideways(df: DataFrame, chosen: FacetFilter) -> DataFrame:
     return df.agg(F.array(*pairs).alias("counts")).select(F.explode("counts").alias("c")).select("c.*")
 
 
+#: Changes of a category that a page shows. A fixed value.
+PER_CATEGORY = 100
+# The sections of a version's front page and the kinds of records they count.
+SECTIONS = {"Equipment": ["string/Eqp"], "Use items": ["string/Consume"], "Etc & setup": ["string/Etc", "string/Ins"], "Monsters": ["string/Mob"], "NPCs": ["string/Npc"], "Maps": ["string/Map"]}
+
+
+def top_categories(changed: DataFrame, chosen: FacetFilter, every: str | None = None, most: int = PER_CATEGORY) -> DataFrame:
+    """The changes to show of each category, with total, the number it has: the first ``most`` by kind and key. No limit holds
+    for the category ``every``, nor if just one is chosen."""
+    changed = Scratch(changed.sparkSession).save(changed, "changed")  # it is read twice
+    whole = F.lit(len(chosen.categories) == 1) | (F.col("category") == F.lit(every or ""))
+    place = F.row_number().over(Window.partitionBy("category").orderBy("kind", "key"))
+    some = changed.where(~whole).withColumn("rank", place).where(F.col("rank") <= most).drop("rank")
+    return some.unionByName(changed.where(whole)).join(changed.groupBy("category").agg(F.count("*").alias("total")), "category")
+
+
+def sections(counts: DataFrame, sections: dict[str, list[str]] | None = None) -> DataFrame:
+    """section, n: how many of the counted records (kind, n) each section of kinds has, 0 included."""
+    listed = [(s, k) for s, kinds in (sections or SECTIONS).items() for k in kinds]
+    table = counts.sparkSession.createDataFrame(listed, "section string, kind string")
+    return F.broadcast(table).join(counts, "kind", "left").groupBy("section").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+
 def category_counts(df: DataFrame) -> DataFrame:
     """category, n of those that occur; ordered by n, then as the categories are."""
     place = F.array_position(F.array(*(F.lit(c) for c in CATEGORIES)), F.col("category"))

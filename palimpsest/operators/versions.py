@@ -23,6 +23,18 @@ def ordered(versions: DataFrame) -> DataFrame:
     return versions.withColumn("place", F.row_number().over(w)).withColumn("previous_id", F.lag("version_id").over(w))
 
 
+def newest_first(versions: DataFrame) -> DataFrame:
+    """version_id, label, channel, rank (from 1, the last release first)."""
+    at = ordered(versions)
+    last = Window.partitionBy(F.lit(1))
+    return at.select("version_id", "label", "channel", (F.max("place").over(last) - F.col("place") + 1).alias("rank"))
+
+
+def is_label(col: Column) -> Column:
+    """Whether a text can name a version, as ``validate_label`` has it."""
+    return F.coalesce(col.rlike(r"^[A-Za-z0-9_-][A-Za-z0-9._-]*$") & ~col.isin(*RESERVED) & ~col.contains("\n"), F.lit(False))
+
+
 def previous(versions: DataFrame, version_id: int) -> int | None:
     """The version released just before."""
     ids = [v for v, _ in release_order(versions)]

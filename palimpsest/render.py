@@ -1,126 +1,12 @@
-"""Reports. Only rows that are shown leave the cluster, one at a time."""
+"""Text of small tables, and where lines go."""
 
 from __future__ import annotations
 
-import json
 import sys
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame, Row
-
-from palimpsest.functions import textdiff
-from palimpsest.operators.diff import STATUSES, summary, top_per
-
-_SIGN = {"added": "+", "removed": "-", "modified": "~"}
-
-
-def cut(text: str | None, most: int) -> str:
-    """A JSON text on one line of at most ``most`` characters; ∅ for None."""
-    if text is None:
-        return "∅"
-    line = text.replace("\n", "\\n").replace("\r", "")
-    return line if len(line) <= most else line[: max(0, most - 1)] + "…"
-
-
-def edited(old: str | None, new: str | None) -> str:
-    """Two JSON texts: the words that changed if both are strings much alike, else one after the other."""
-    both = [json.loads(v) if v else None for v in (old, new)]
-    if all(isinstance(v, str) for v in both):
-        parts = textdiff.segments(*both)
-        size = {op: sum(len(p["text"].encode()) for p in parts if p["op"] == op) for op in ("same", "removed", "added")}
-        whole = size["same"] + max(size["removed"], size["added"])
-        if not whole or size["same"] / whole >= 0.3:
-            marks = {"same": "{}", "removed": "[-{}-]", "added": "{{+{}+}}"}
-            line = "".join(marks[p["op"]].format(p["text"]) for p in parts)
-            first = min((i for i in (line.find("[-"), line.find("{+")) if i >= 0), default=0)
-            start = max(0, first - 41)
-            return ("…" if start else "") + cut(line[start:], 140)
-    return f"{cut(old, 60)} -> {cut(new, 60)}"
-
-
-def _quoted(text: str | None) -> str:
-    return "`" + cut(text, 120).replace("`", "'") + "`"
-
-
-def _groups(changes: DataFrame, limit: int) -> Iterator[tuple[str, int, Iterator[Row]]]:
-    """kind, how many changes it has, and those to show, kind after kind."""
-    shown = top_per(changes, "kind", limit).orderBy("kind", "key").toLocalIterator()
-    row = next(shown, None)
-    while row is not None:
-        kind, total = row.kind, row.total
-
-        def same() -> Iterator[Row]:
-            nonlocal row
-            while row is not None and row.kind == kind:
-                yield row
-                row = next(shown, None)
-
-        rest = same()
-        yield kind, total, rest
-        for _ in rest:
-            pass
-
-
-def changes_text(changes: DataFrame, old: str, new: str, limit: int = 50) -> Iterator[str]:
-    """Lines of a plain report of ``diff.changes``; ``limit`` a kind, 0 for all."""
-    yield f"{old} -> {new}"
-    counts = summary(changes).orderBy("kind").collect()
-    if not counts:
-        yield "no changes"
-        return
-    yield ""
-    yield f"{'kind':<28} {'added':>7} {'removed':>7} {'modified':>8}"
-    for c in counts:
-        yield f"{c.kind:<28} {c.added:>7} {c.removed:>7} {c.modified:>8}"
-    for kind, total, rows in _groups(changes, limit):
-        yield f"\n== {kind} =="
-        for r in rows:
-            if r.status == "modified":
-                yield f"~ {r.key}"
-                yield from (f"    {f.path}: {edited(f.old, f.new)}" for f in r.fields)
-            else:
-                yield f"{_SIGN[r.status]} {r.key}  {cut(r.new_data if r.status == 'added' else r.old_data, 100)}"
-        if limit and total > limit:
-            yield f"  … {total - limit} more (use --limit 0 for all)"
-
-
-def changes_markdown(changes: DataFrame, old: str, new: str, limit: int = 50) -> Iterator[str]:
-    """Lines of the same report in Markdown."""
-    yield f"# Changes: {old} → {new}\n"
-    counts = summary(changes).orderBy("kind").collect()
-    if not counts:
-        yield "No changes."
-        return
-    yield "| Kind | Added | Removed | Modified |\n|---|---:|---:|---:|"
-    for c in counts:
-        yield f"| `{c.kind}` | " + " | ".join(str(c[s]) for s in STATUSES) + " |"
-    for kind, total, rows in _groups(changes, limit):
-        yield f"\n## `{kind}`\n"
-        for r in rows:
-            if r.status == "modified":
-                yield f"- **changed** `{r.key}`"
-                yield from (f"  - `{f.path}`: {_quoted(f.old)} → {_quoted(f.new)}" for f in r.fields)
-            else:
-                yield f"- **{r.status}** `{r.key}` {_quoted(r.new_data if r.status == 'added' else r.old_data)}"
-        if limit and total > limit:
-            yield f"  … {total - limit} more (use --limit 0 for all)"
-
-
-def history_text(events: Iterable[Row], labels: dict[int, str]) -> Iterator[str]:
-    """Lines of record histories; rows of kind, key, version_id, status, data and fields in kind, key and release order."""
-    last = None
-    for e in events:
-        if (e.kind, e.key) != last:
-            last = (e.kind, e.key)
-            yield f"{e.kind} {e.key}"
-        status = "changed" if e.status == "modified" else e.status
-        head = f"  {labels[e.version_id]:<24} {status:<8}"
-        if e.fields:
-            yield head
-            yield from (f"      {f.path}: {cut(f.old, 50)} -> {cut(f.new, 50)}" for f in e.fields)
-        else:
-            yield f"{head} {cut(e.data, 90)}"
+from pyspark.sql import Row
 
 
 def table(rows: list[Row], columns: list[str]) -> Iterator[str]:

@@ -228,7 +228,7 @@ def test_tree_and_extractors(spark, store, tmp_path, capsys):
     t.write.parquet(f"{tmp_path}/nodes")
     run = lambda *a: (cli.main(["--store", store.root, *a], spark), capsys.readouterr().out)
     assert run("extract", "v1", "--nodes", f"{tmp_path}/nodes")[1].count("extracted") == 3
-    assert "Iron Body" in run("skills", "--job", "warrior")[1] and "Iron Body" not in run("skills", "--job", "thief")[1] and '"max_level": 16' in run("skill", "1000000")[1]
+    assert "Iron Body" in run("skills", "--job", "warrior")[1] and "Iron Body" not in run("skills", "--job", "thief")[1] and '"max_level": 16' in run("skill", "1000000", "--json")[1]
     assert run("ls", "--nodes", f"{tmp_path}/nodes", "v1", "String")[1].split()[0] == "Eqp.img"
     assert json.loads(run("show", "--nodes", f"{tmp_path}/nodes", "v1", "Skill/100.img", "--depth", "1")[1]) == {"skill": {"_children": 2}}
 
