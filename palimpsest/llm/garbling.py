@@ -3,7 +3,7 @@
 A smoothed character n-gram model is trained on the clean records of the corpus itself. Every chain of encoding back
 with one codec and decoding with another is a candidate for every run of text it can apply to; the model scores
 original and candidates, and a record is garbled if its likeliest restorations gain a margin or more, which is
-validated on all clean texts and on the same texts garbled on purpose, as a whole and a word at a time.
+validated on all words of the corpus, as they are and garbled on purpose.
 """
 
 from __future__ import annotations
@@ -37,8 +37,10 @@ SMOOTH = 5e-6
 UNKNOWN = 1e-8
 #: A token of less gain does not keep its record out of the training.
 FLOOR = 2.0
-#: Share of the texts garbled on purpose that a margin must find for the share of those garbled unnoticed to be told by it.
-SURE = 0.9
+#: Share of the words garbled on purpose that a margin must find for the share of those garbled unnoticed to be told by it.
+SURE = 0.97
+#: Errors, as a share of what is garbled, up to which margins count as equally good.
+TOLERATED = 0.02
 #: The margin where there is nothing to validate it on: no clean text beyond ASCII.
 UNVALIDATED = 10.0
 #: Common wrong readings, (written in, read in), that the validation garbles with; the first can write every text.
@@ -408,74 +410,57 @@ def reading(text: str) -> tuple[str, str]:
     return COMMON[0]
 
 
-def misread(text: str, chain: tuple[str, str]) -> str:
-    """The text garbled on purpose."""
-    return codecs.charmap_decode(text.encode(chain[0], "ignore"), "strict", _DECODE[chain[1]])[0]
+def spoilt(word: str) -> str:
+    """The word garbled on purpose by its ``reading``."""
+    written, read = reading(word)
+    return codecs.charmap_decode(word.encode(written, "ignore"), "strict", _DECODE[read])[0]
 
 
-def spoilt(text: str, words: list[str]) -> tuple[str, list[str]]:
-    """The text and each of the words garbled on purpose by ``reading``. Words that come out as they were are left out."""
-    chain = reading(text)
-    return misread(text, chain), [x for w in words if (x := misread(w, chain)) != w]
-
-
-#: What is measured: clean texts, texts garbled as a whole, texts with one word garbled. Gains from ``TOP`` on share the last step.
-_CLEAN, _WHOLE, _PART = range(3)
+#: What is measured: words as they are, and garbled on purpose. Gains from ``TOP`` on share the last step.
+_CLEAN, _SPOILT = range(2)
 _STEPS = int(TOP / STEP) + 1
 
 
-def gains(texts: Iterable[str], model: Model, size: int = 200) -> np.ndarray:
-    """How many of the clean texts, and of the same garbled as a whole and with each of their words garbled alone, gain how
-    many ``STEP``s. Clean is what holds nothing plainly garbled."""
-    table = np.zeros((3, _STEPS), np.int64)
-    rest = (t for t in texts if not (plainly_garbled(t) or suspicious(t)))
-    known: dict[tuple[str, tuple[str, str]], list[str]] = {}
-
-    def wrong(word: str, chain: tuple[str, str]) -> list[str]:
-        """The tokens of the garbled word; none if it comes out as it was."""
-        if (word, chain) not in known:
-            new = misread(word, chain)
-            known[word, chain] = tokens(new) if new != word else []
-        return known[word, chain]
-
-    def put(kind: int, found: float) -> None:
-        table[kind, min(int(found / STEP), _STEPS - 1)] += 1
-
+def gains(words: Iterable[tuple[str, int]], model: Model, size: int = 500) -> np.ndarray:
+    """How many of the words, as they are and garbled on purpose, gain how many ``STEP``s; each word with the number of texts
+    that hold it. Words that hold something plainly garbled are left out, and so are garbled ones that come out as they
+    were."""
+    table = np.zeros((2, _STEPS), np.int64)
+    rest = ((w, n) for w, n in words if not (plainly_garbled(w) or suspicious(w)))
     while group := [*islice(rest, size)]:
-        if len(known) > 200_000:
-            known.clear()
-        tried = []
-        for t in group:
-            found, chain = tokens(t), reading(t)
-            words = [(w, x) for w in found if (x := wrong(w, chain))]
-            tried.append((found, tokens(misread(t, chain)) if words else [], words))
-        model.learn([x for found, whole, words in tried for part in (found, whole, *(x for _, x in words)) for x in part])
-        for found, whole, words in tried:
-            clean = most(found, model)
-            put(_CLEAN, clean)
-            if words:
-                put(_WHOLE, most(whole, model))
-            for _, x in words:
-                put(_PART, max(clean, most(x, model)))
+        wrong = [(tokens(x), n) for w, n in group if (x := spoilt(w)) != w]
+        model.learn([*(w for w, _ in group), *(t for x, _ in wrong for t in x)])
+        for kind, each in ((_CLEAN, (([w], n) for w, n in group)), (_SPOILT, wrong)):
+            for found, n in each:
+                table[kind, min(int(most(found, model) / STEP), _STEPS - 1)] += n
     return table
 
 
 def _validation(shared: Broadcast, name: str):
     def measure(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = gains((t for b in source for t in _texts(b, 0)), _model(shared, name, 0.0, TOP))
+        table = gains((x for b in source for x in zip(_texts(b, 0), b.column(1).to_pylist())), _model(shared, name, 0.0, TOP))
         kind, at = np.nonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(table[kind, at])], names=["kind", "at", "n"])
 
     return measure
 
 
+def _words(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in source:
+        held = Counter(w for t in _texts(batch, 0) for w in {*tokens(t)})
+        yield pa.RecordBatch.from_arrays([pa.array([*held], pa.string()), pa.array([*held.values()], pa.int64())], names=["word", "n"])
+
+
 def measured(docs: DataFrame, counts: np.ndarray, text: str = "text") -> np.ndarray:
-    """``gains`` of all texts beyond ASCII, whatever their length, counted where they lie; only the counts come to the driver."""
+    """``gains`` of all words beyond ASCII of all texts, whatever their length. Every different word is scored once, in the
+    one task that holds it; only the counts come to the driver."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(counts)
-    parts = docs.select(text).where(F.col(text).rlike(r"[^\x00-\x7f]")).mapInArrow(_validation(shared, uuid.uuid4().hex), "kind int, at int, n bigint")
+    words = docs.select(text).where(F.col(text).rlike(r"[^\x00-\x7f]")).mapInArrow(_words, "word string, n bigint")
+    words = words.groupBy("word").agg(F.sum("n").alias("n"))
+    parts = words.mapInArrow(_validation(shared, uuid.uuid4().hex), "kind int, at int, n bigint")
     sums = parts.groupBy("kind", "at").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros((3, _STEPS), np.int64)
+    table = np.zeros((2, _STEPS), np.int64)
     table[sums["kind"].to_numpy(), sums["at"].to_numpy()] = sums["n"].to_numpy()
     return table
 
@@ -486,21 +471,22 @@ def margin(docs: DataFrame, counts: np.ndarray, text: str = "text") -> float:
 
 
 def threshold(table: np.ndarray) -> float:
-    """The margin with the fewest errors by the counted gains of clean texts and of the same garbled on purpose.
-
-    Some of the texts that pass for clean are garbled, a share p. With G the share of them that gains so much and S
-    the share of those garbled on purpose (the mean of whole texts and single words), p is the least of G / S where S is
-    ``SURE`` or more, for what a margin finds is garbled or clean. A margin then makes G - p S false rows and misses
-    p (1 - S): what is garbled unnoticed neither raises nor lowers the best margin. The middle of the margins around the
-    best one that are within half a text of it is taken."""
+    """The margin with the fewest errors by the counted gains of words as they are and garbled on purpose. A text gains what
+    the best of its words does, so that a single garbled word is the hardest to find.
+
+    Some of the words that pass for clean are garbled, a share p. With G the share of them that gains so much and S
+    the share of those garbled on purpose, p is the least of G / S where S is ``SURE`` or more, for what a margin finds
+    is garbled or clean. A margin then makes G - p S false rows and misses p (1 - S): what is garbled unnoticed neither
+    raises nor lowers the best margin. The middle of the margins around the best one is taken that make no more errors
+    than it and ``TOLERATED`` times p."""
     upto = lambda counts: np.cumsum(counts[::-1])[::-1] / max(1, counts.sum())
-    if not table[_CLEAN].any() or not table[_WHOLE].any():
+    if not table[_CLEAN].any() or not table[_SPOILT].any():
         return UNVALIDATED
-    g, s = upto(table[_CLEAN]), (upto(table[_WHOLE]) + upto(table[_PART])) / 2
+    g, s = upto(table[_CLEAN]), upto(table[_SPOILT])
     p = (g[s >= SURE] / s[s >= SURE]).min()
     errors = (g - 2 * p * s)[1:]  # no margin of 0
     low = high = int(errors.argmin())
-    fair = errors <= errors[low] + 0.5 / table[_CLEAN].sum()
+    fair = errors <= errors[low] + TOLERATED * p
     while low and fair[low - 1]:
         low -= 1
     while high + 1 < len(errors) and fair[high + 1]:

@@ -1,4 +1,5 @@
 import codecs
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -93,35 +94,40 @@ def test_nothing_that_reaches_the_margin_is_left_untried(model):
             assert (got[1] == full[1] and abs(got[0] - full[0]) < 1e-6) or full[0] < least
 
 
-def test_margin_is_validated_on_all_texts_whole_and_in_part(spark):
-    texts = [f"{CLEAN[i % 8]} {i}" for i in range(1200)] + [" ".join([CLEAN[1]] * 200)]
+def test_margin_is_validated_on_all_words_of_all_texts(spark):
+    texts = [f"{CLEAN[i % 8]} {i}é" for i in range(1200)] + [" ".join([CLEAN[1], "größte"] * 3000)]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
     counts = g.train(df)
     table = g.measured(df, counts)
-    assert table[g._CLEAN].sum() == table[g._WHOLE].sum() == len(texts)
-    assert table[g._PART].sum() == sum(len(g.spoilt(t, g.tokens(t))[1]) for t in texts) > 9000
-    assert (table == g.measured(df.repartition(7), counts)).all()
-    plain = g.gains(texts[:50], g.Model(counts))
-    assert (plain == g.gains(texts[:50], g.Model(counts, enough=g.TOP))).all()
+    words = Counter(w for t in texts for w in {*g.tokens(t)} if not g.suspicious(w))
+    assert words["größte"] == 1 and table[g._CLEAN].sum() == words.total() and table[g._SPOILT].sum() == sum(n for w, n in words.items() if g.spoilt(w) != w) > 2000
+    assert (table == g.measured(df.repartition(7), counts)).all() and (table == g.gains(words.items(), g.Model(counts))).all()
+    assert (g.gains(words.items(), g.Model(counts)) == g.gains(words.items(), g.Model(counts, enough=g.TOP))).all()
+
+
+def test_a_text_garbled_as_a_whole_gains_no_less_than_a_word_of_it(model):
+    for text in CLEAN:
+        for chain in WRONG:
+            each = [g.gain(spoil(w, *chain), model) for w in g.tokens(text)]
+            assert not each or g.gain(spoil(text, *chain), model) >= max(each) - 1e-6 or "\u3000" in text or any(c.isspace() for w in g.tokens(text) for c in spoil(w, *chain))
 
 
 def test_margin_is_not_moved_by_what_is_garbled_unnoticed(spark):
     """However many of the texts that pass for clean are garbled, the margin lies between what clean texts gain and what
     garbled ones do."""
     def table(unnoticed):
-        out = np.zeros((3, g._STEPS), np.int64)
+        out = np.zeros((2, g._STEPS), np.int64)
         at = lambda x: int(x / g.STEP)
         out[g._CLEAN, at(0.5)] += 9000
         out[g._CLEAN, at(5)] += 900
         out[g._CLEAN, at(20)] += unnoticed
-        out[g._WHOLE, at(20)] += 9900
-        out[g._PART, at(15)] += 100
-        out[g._PART, at(20)] += 9900
+        out[g._SPOILT, at(15)] += 100
+        out[g._SPOILT, at(20)] += 9900
         return out
 
     found = [g.threshold(table(n)) for n in (0, 10, 100, 1000)]
     assert all(5 < m <= 20 for m in found) and max(found[1:]) - min(found[1:]) < 3
-    assert g.threshold(np.zeros((3, g._STEPS), np.int64)) == g.UNVALIDATED
+    assert g.threshold(np.zeros((2, g._STEPS), np.int64)) == g.UNVALIDATED
 
 
 def test_the_validated_margin_is_the_one_used(spark):
@@ -162,5 +168,5 @@ def test_counts_beyond_32_bits(spark):
     bad = spoil(CLEAN[1], "utf_8", "cp1252")
     df = spark.createDataFrame([(1, bad), (2, CLEAN[1])], "doc_id bigint, text string")
     assert rows(g.garbled(df, counts=counts, bound=12.0)) == [(1, CLEAN[1], True)]
-    whole = g.gains(CLEAN, g.Model(counts))
-    assert (g.measured(spark.createDataFrame([(t,) for t in CLEAN], "text string"), counts) == whole).all()
+    words = Counter(w for t in CLEAN for w in {*g.tokens(t)}).items()
+    assert (g.measured(spark.createDataFrame([(t,) for t in CLEAN], "text string"), counts) == g.gains(words, g.Model(counts))).all()
