@@ -29,7 +29,7 @@ from palimpsest.session import Scratch, ship
 #: more than ``FULL`` of it is taken, so that n-grams seldom share a counter.
 TABLE, MOST_TABLE, FULL = 1 << 20, 1 << 23, 0.5
 #: Gains are told apart to this part of one where the margin is validated, and up to this one.
-STEP, TOP = 1 / 16, 32.0
+STEP, TOP = 1 / 16, 48.0
 #: Weight of the shorter n-gram, in counts per character of training: grows with the corpus, since what garbling is left in
 #: the training does so too and must not look regular anywhere.
 SMOOTH = 5e-6
@@ -40,7 +40,7 @@ FLOOR = 2.0
 #: Share of the words garbled on purpose that a margin must find for the share of those garbled unnoticed to be told by it.
 SURE = 0.97
 #: Errors, as a share of what is garbled, up to which margins count as equally good.
-TOLERATED = 0.02
+TOLERATED = 0.04
 #: The margin where there is nothing to validate it on: no clean text beyond ASCII.
 UNVALIDATED = 10.0
 #: Common wrong readings, (written in, read in), that the validation garbles with; the first can write every text.
