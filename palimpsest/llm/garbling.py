@@ -29,7 +29,7 @@ from palimpsest.session import Scratch, ship
 #: more than ``FULL`` of it is taken, so that n-grams seldom share a counter.
 TABLE, MOST_TABLE, FULL = 1 << 20, 1 << 23, 0.5
 #: Gains are told apart to this part of one where the margin is validated, and up to this one.
-STEP, TOP = 1 / 16, 48.0
+STEP, TOP = 1 / 16, 32.0
 #: Weight of the shorter n-gram, in counts per character of training: grows with the corpus, since what garbling is left in
 #: the training does so too and must not look regular anywhere.
 SMOOTH = 5e-6
@@ -40,7 +40,7 @@ FLOOR = 2.0
 #: Share of the words garbled on purpose that a margin must find for the share of those garbled unnoticed to be told by it.
 SURE = 0.97
 #: Errors, as a share of what is garbled, up to which margins count as equally good.
-TOLERATED = 0.04
+TOLERATED = 0.005
 #: The margin where there is nothing to validate it on: no clean text beyond ASCII.
 UNVALIDATED = 10.0
 #: Common wrong readings, (written in, read in), that the validation garbles with; the first can write every text.
@@ -474,19 +474,20 @@ def threshold(table: np.ndarray) -> float:
     """The margin with the fewest errors by the counted gains of words as they are and garbled on purpose. A text gains what
     the best of its words does, so that a single garbled word is the hardest to find.
 
-    Some of the words that pass for clean are garbled, a share p. With G the share of them that gains so much and S
-    the share of those garbled on purpose, p is the least of G / S where S is ``SURE`` or more, for what a margin finds
-    is garbled or clean. A margin then makes G - p S false rows and misses p (1 - S): what is garbled unnoticed neither
-    raises nor lowers the best margin. The middle of the margins around the best one is taken that make no more errors
-    than it and ``TOLERATED`` times p."""
+    Some of the words that pass for clean are garbled, a share p. With G the share of them that gains so much and S the
+    share of those garbled on purpose, a margin between what clean and garbled words gain finds G = p S; p is the median
+    of G / S over the margins where S is ``SURE`` or more. A margin then makes G - p S false rows, if that is above 0, and
+    misses p (1 - S), so that what is garbled unnoticed does not move the best margin. The middle of the margins around
+    the best one is taken that make no more errors than it and ``TOLERATED`` times p."""
     upto = lambda counts: np.cumsum(counts[::-1])[::-1] / max(1, counts.sum())
     if not table[_CLEAN].any() or not table[_SPOILT].any():
         return UNVALIDATED
-    g, s = upto(table[_CLEAN]), upto(table[_SPOILT])
-    p = (g[s >= SURE] / s[s >= SURE]).min()
-    errors = (g - 2 * p * s)[1:]  # no margin of 0
+    g, s = (upto(t)[1:] for t in (table[_CLEAN], table[_SPOILT]))  # no margin of 0
+    sure = s >= min(SURE, s[0])
+    p = float(np.median(g[sure] / s[sure]))
+    errors = np.maximum(0.0, g - p * s) + p * (1 - s)
     low = high = int(errors.argmin())
-    fair = errors <= errors[low] + TOLERATED * p
+    fair = errors <= errors[low] + max(TOLERATED * p, 0.5 / table[_CLEAN].sum())
     while low and fair[low - 1]:
         low -= 1
     while high + 1 < len(errors) and fair[high + 1]:
