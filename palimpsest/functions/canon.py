@@ -84,6 +84,12 @@ def json_type(text: str | None) -> str | None:
     return {dict: "object", list: "list", str: "string", int: "int", float: "float", bool: "bool", type(None): "null"}[type(v)]
 
 
+@F.pandas_udf(T.StringType())
+def type_name(texts: pd.Series) -> pd.Series:
+    """``json_type`` of a column."""
+    return texts.map(json_type)
+
+
 def strict(data: Column, name: str, kind: str) -> Column:
     """Member ``name`` of a JSON object if it has JSON type ``kind`` (string, int, bool), unconverted; else null.
 

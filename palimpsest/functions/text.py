@@ -161,7 +161,7 @@ def url_path(col: Column) -> Column:
 
 def listed(col: Column) -> Column:
     """The values of a list written with commas, without blanks around them and empty ones."""
-    return F.filter(F.transform(F.split(col, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(col, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def toggled(col: Column, value: Column) -> Column:

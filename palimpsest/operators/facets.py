@@ -132,11 +132,11 @@ def top_categories(changed: DataFrame, chosen: FacetFilter, every: str | None =
     return some.unionByName(changed.where(whole)).join(changed.groupBy("category").agg(F.count("*").alias("total")), "category")
 
 
-def sections(counts: DataFrame, sections: dict[str, list[str]] | None = None) -> DataFrame:
-    """section, n: how many of the counted records (kind, n) each section of kinds has, 0 included."""
-    listed = [(s, k) for s, kinds in (sections or SECTIONS).items() for k in kinds]
-    table = counts.sparkSession.createDataFrame(listed, "section string, kind string")
-    return F.broadcast(table).join(counts, "kind", "left").groupBy("section").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+def sections(counts: DataFrame, sections: dict[str, list[str]] | None = None, by: list[str] | None = None) -> DataFrame:
+    """section, n: how many of the counted records (kind, n) each section of kinds has, 0 included; for each group ``by``."""
+    by = by or []
+    sums = [F.struct(F.lit(s).alias("section"), F.coalesce(F.sum(F.when(F.col("kind").isin(kinds), F.col("n"))), F.lit(0)).alias("n")) for s, kinds in (sections or SECTIONS).items()]
+    return counts.groupBy(*by).agg(F.array(*sums).alias("s")).select(*by, F.explode("s").alias("s")).select(*by, "s.*")
 
 
 def category_counts(df: DataFrame) -> DataFrame:

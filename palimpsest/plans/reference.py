@@ -13,25 +13,32 @@ from palimpsest.session import ship
 from palimpsest.sources import files, nodes, store
 from palimpsest.sources.tables import releases, table
 
-QUERIES = {}
-ORACLE: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with its SQL if there is one."""
-    def put(f):
-        @wraps(f)
-        def run(spark: SparkSession, d: str) -> DataFrame:
-            ship(spark)
-            return f(spark, d)
+def collected():  # noqa: ANN201
+    """Empty tables of queries and SQL by name, and the decorator that fills them: it registers a query under its function's
+    name, with its SQL if there is one."""
+    queries: dict = {}
+    oracle: dict[str, str] = {}
 
-        QUERIES[f.__name__] = run
-        if sql is not None:
-            ORACLE[f.__name__] = sql
-        return f
+    def query(sql: str | None = None):  # noqa: ANN202
+        def put(f):  # noqa: ANN001, ANN202
+            @wraps(f)
+            def run(spark: SparkSession, d: str) -> DataFrame:
+                ship(spark)
+                return f(spark, d)
 
-    return put
+            queries[f.__name__] = run
+            if sql is not None:
+                oracle[f.__name__] = sql
+            return f
 
+        return put
+
+    return queries, oracle, query
+
+
+QUERIES, ORACLE, query = collected()
 
 _PATH = r"regexp_replace(regexp_replace(key, '[/\\]+', '/', 'g'), '^/|/$', '', 'g')"
 _REL = """rel AS (SELECT version_id, label, row_number() OVER (ORDER BY coalesce(build_time::TIMESTAMPTZ, imported_at::TIMESTAMPTZ), version_id) AS ord FROM client_versions)"""
@@ -267,13 +274,22 @@ def natural_sort(spark, d):
 
 # Facets
 
-_TOP = "split_part(regexp_replace(key, '^Data/', ''), '/', 1)"
-_CATEGORY = f"""CASE WHEN kind IN ('img', 'file') THEN CASE {_TOP} WHEN 'Skill' THEN 'skills' WHEN 'Character' THEN 'equipment' WHEN 'Item' THEN 'items' WHEN 'Mob' THEN 'monsters' WHEN 'Npc' THEN 'npcs' WHEN 'Map' THEN 'maps' WHEN 'Quest' THEN 'quests' ELSE 'other' END
+
+
+def _category(t: str = "") -> str:
+    top = f"split_part(regexp_replace({t}key, '^Data/', ''), '/', 1)"
+    return f"""CASE WHEN kind IN ('img', 'file') THEN CASE {top} WHEN 'Skill' THEN 'skills' WHEN 'Character' THEN 'equipment' WHEN 'Item' THEN 'items' WHEN 'Mob' THEN 'monsters' WHEN 'Npc' THEN 'npcs' WHEN 'Map' THEN 'maps' WHEN 'Quest' THEN 'quests' ELSE 'other' END
 WHEN kind IN ('skill', 'string/Skill') THEN 'skills' WHEN kind = 'string/Eqp' THEN 'equipment' WHEN kind IN ('string/Consume', 'string/Etc', 'string/Ins', 'string/Cash', 'string/Pet') THEN 'items'
 WHEN kind IN ('string/Mob', 'string/MobSkill') THEN 'monsters' WHEN kind = 'string/Npc' THEN 'npcs' WHEN kind = 'string/Map' THEN 'maps' ELSE 'other' END"""
-_FACETS = f"""{_REC}, fac AS (SELECT rec.version_id, rec.kind, rec.key, {_CATEGORY} AS category,
-CASE WHEN kind = 'skill' THEN coalesce(try_cast(json_extract(b.data, '$.job') AS BIGINT), try_cast(key AS BIGINT) // 10000) WHEN kind = 'string/Skill' THEN try_cast(key AS BIGINT) // 10000
- WHEN kind IN ('img', 'file') THEN try_cast(nullif(regexp_extract(regexp_replace(key, '^Data/', ''), '^Skill/(.*)\\.img$', 1), '') AS BIGINT) END AS job,
+
+
+def _job(data: str) -> str:
+    return f"""CASE WHEN kind = 'skill' THEN coalesce(try_cast(json_extract({data}, '$.job') AS BIGINT), try_cast(key AS BIGINT) // 10000) WHEN kind = 'string/Skill' THEN try_cast(key AS BIGINT) // 10000
+ WHEN kind IN ('img', 'file') THEN try_cast(nullif(regexp_extract(regexp_replace(key, '^Data/', ''), '^Skill/(.*)\\.img$', 1), '') AS BIGINT) END"""
+
+
+_FACETS = f"""{_REC}, fac AS (SELECT rec.version_id, rec.kind, rec.key, {_category('rec.')} AS category,
+{_job('b.data')} AS job,
 CASE WHEN kind IN ('img', 'file') THEN 'raw' ELSE 'data' END AS detail FROM rec LEFT JOIN blobs b ON b.hash = rec.blob_hash WHERE version_id = (SELECT version_id FROM rel ORDER BY ord DESC LIMIT 1)),
 jobs(id, branch, advancement) AS (VALUES {", ".join(f"({i}, '{b}', {a})" for i, _, b, a in jobs.JOBS)}),
 fj AS (SELECT fac.*, jobs.branch, jobs.advancement FROM fac LEFT JOIN jobs ON jobs.id = fac.job)"""
