@@ -9,7 +9,7 @@ column aligned to the positions, so the wide rows are the columns laid side by s
 from __future__ import annotations
 
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -141,32 +141,33 @@ def wide(rows: DataFrame, entity: list[str], attribute: str, value: str, catalog
 def _stitcher(entity: list[str], names: list[tuple[str, str]], heads: list[str], block: int):
     kinds = {"int": pa.decimal128(38, 0), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
 
-    def typed(kind: str, texts: list) -> pa.Array:
-        flat = pa.array(texts, pa.string())
-        if kind == "double":
-            return pa.array([None if x is None else float(x) for x in texts], pa.float64())
-        return flat if kind == "string" else flat.cast(kinds[kind])
+    def typed(kind: str, texts: pa.Array) -> pa.Array:
+        try:
+            return texts if kind == "string" else texts.cast(kinds[kind])
+        except pa.ArrowInvalid:  # a form of a double that only Python reads
+            return pa.array([None if x is None else float(x) for x in texts.to_pylist()], kinds[kind])
 
     def stitch(table: pa.Table) -> pa.Table:
-        pos = table["pos"].to_pylist()
-        size = max(pos) + 1
-        first = pd.Series(pos).drop_duplicates()
-        take = pa.array(first.sort_values().index.to_numpy())
-        out = {c: table[c].take(take) for c in entity}
+        pos, attr = table["pos"].to_numpy(), table["attr"].to_numpy()
+        size = int(pos.max()) + 1
+        first = np.zeros(size, np.int64)
+        first[pos[::-1]] = np.arange(len(pos))[::-1]
+        out = {c: table[c].take(pa.array(first)) for c in entity}
         base = table["block"][0].as_py() * block
-        out["ordinal"] = pa.array(range(base, base + size), pa.int64())
-        attr, low, clash = (table[c].to_pylist() for c in ("attr", "low", "clash"))
-        columns: list[list] = [[None] * size for _ in names]
+        out["ordinal"] = pa.array(np.arange(base, base + size))
+        low = table["low"].cast(pa.string()).combine_chunks()
+        clash = (attr >= 0) & table["clash"].fill_null(False).to_numpy(zero_copy_only=False)
+        # Each attribute's values go to their positions at once; the positions without one are null.
+        order = np.argsort(np.where(clash, -1, attr), kind="stable")
+        starts = np.searchsorted(np.where(clash, -1, attr)[order], np.arange(len(names) + 1))
+        for a, (head, (_, kind)) in enumerate(zip(heads, names)):
+            rows = order[starts[a] : starts[a + 1]]
+            at = np.full(size, -1)
+            at[pos[rows]] = rows
+            out[head] = typed(kind, low.take(pa.array(at, mask=at < 0)))
         conflicts: list[list[str]] = [[] for _ in range(size)]
-        for p, a, v, c in zip(pos, attr, low, clash):
-            if a < 0:
-                continue
-            if c:
-                conflicts[p].append(names[a][0])
-            else:
-                columns[a][p] = v
-        for head, (_, kind), column in zip(heads, names, columns):
-            out[head] = typed(kind, column)
+        for i in np.flatnonzero(clash).tolist():
+            conflicts[pos[i]].append(names[attr[i]][0])
         out["conflicts"] = pa.array([sorted(x) for x in conflicts], pa.list_(pa.string()))
         return pa.table(out)
 

@@ -94,6 +94,18 @@ QUERIES = {
     for f in (p1_found, p1_hierarchy, p1_descendants, p2_found, p2_wide, p3_found, p4_found, p4_history, p5_found, p5_table, p6_found, p6_tables)
 }
 
+_WALK = """RECURSIVE ids AS (SELECT DISTINCT try_cast(trim(id) AS BIGINT) AS id FROM skills),
+e AS (SELECT id, min(p) AS p FROM (SELECT try_cast(trim(id) AS BIGINT) AS id, try_cast(trim(unnest(map_keys(req))) AS BIGINT) AS p FROM skills) WHERE p IN (SELECT id FROM ids) GROUP BY id),
+w(id, cur, depth, seen) AS (SELECT id, p, 1, [id] FROM e UNION ALL SELECT w.id, e.p, depth + 1, list_append(seen, cur) FROM w JOIN e ON e.id = w.cur WHERE NOT list_contains(seen, cur)),
+pair AS (SELECT cur AS skill_id, id AS descendant_id, depth::INT AS distance FROM w WHERE NOT list_contains(seen, cur))"""
+
+_CELLS = r"""WITH c AS (SELECT stat_name, value_type, lower(regexp_replace(stat_name, '[^A-Za-z0-9]', '', 'g')) AS f FROM stat_catalog),
+r AS (SELECT try_cast(trim(skill_id) AS BIGINT) AS skill_id, skill_level, c.stat_name, value_type, regexp_replace(stat_value, '^\s+|\s+$', '', 'g') AS v
+ FROM skill_levels l JOIN c ON c.f = lower(regexp_replace(l.stat_name, '[^A-Za-z0-9]', '', 'g'))),
+n AS (SELECT *, CASE value_type WHEN 'int' THEN CASE WHEN regexp_full_match(v, '[+-]?\d+(,\d{3})*(\.0*)?') THEN try_cast(regexp_replace(replace(v, ',', ''), '\.0*$', '') AS HUGEINT)::VARCHAR END
+ WHEN 'double' THEN CASE WHEN regexp_full_match(replace(v, ',', '.'), '[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?') THEN try_cast(replace(v, ',', '.') AS DOUBLE)::VARCHAR END
+ WHEN 'boolean' THEN CASE WHEN lower(v) IN ('true', 'yes', '1') THEN 'true' WHEN lower(v) IN ('false', 'no', '0') THEN 'false' END ELSE v END AS x FROM r WHERE v <> '')"""
+
 _RELEASES = "rel AS (SELECT version_id, label, row_number() OVER (ORDER BY coalesce(build_time::TIMESTAMPTZ, imported_at::TIMESTAMPTZ), version_id) AS ord FROM client_versions)"
 
 _DRIFT = f"""WITH {_RELEASES}, lines AS (SELECT feed, version_id, line_no, payload FROM raw_records JOIN rel USING (version_id) WHERE CASE WHEN json_valid(payload) THEN json_type(payload) = 'OBJECT' ELSE false END),
@@ -110,31 +122,25 @@ met AS (SELECT w.feed, w.version_id, w.path, c.path AS new_path, count(*) AS met
  JOIN val a ON a.feed = w.feed AND a.version_id = f.old AND a.path = w.path JOIN val b ON b.feed = w.feed AND b.version_id = w.version_id AND b.path = c.path AND b.id = a.id GROUP BY ALL),
 rn AS (SELECT feed, version_id, path, new_path FROM met WHERE met = equal QUALIFY row_number() OVER (PARTITION BY feed, version_id, path ORDER BY equal DESC, new_path) = 1 AND row_number() OVER (PARTITION BY feed, version_id, new_path ORDER BY equal DESC, path) = 1)"""
 
+_PERIODS = f"""{_RELEASES}, canon AS (SELECT event_id, string_agg(j.fullkey || '=' || j.type || coalesce(j.atom::VARCHAR, ''), chr(10) ORDER BY j.fullkey) AS c
+ FROM (SELECT event_id, data FROM history_events WHERE json_valid(data)) h, json_tree(h.data) j GROUP BY event_id),
+ev AS (SELECT kind, key, r.version_id, ord, max_by(event_id, received_at::VARCHAR || printf('%020d', event_id)) AS event_id FROM history_events h JOIN rel r ON lower(trim(r.label)) = lower(trim(h.version)) GROUP BY ALL),
+st AS (SELECT ev.*, CASE WHEN lower(trim(h.status)) = 'removed' THEN NULL ELSE coalesce(c, 'text ' || h.data, 'none') END AS c FROM ev JOIN history_events h USING (event_id) LEFT JOIN canon USING (event_id)),
+ch AS (SELECT *, lag(c) OVER w IS DISTINCT FROM c AS change FROM st WINDOW w AS (PARTITION BY kind, key ORDER BY ord)),
+pe AS (SELECT kind, key, version_id, event_id, c, lead(version_id) OVER (PARTITION BY kind, key ORDER BY ord) AS nxt FROM ch WHERE change)"""
+
 ORACLE: dict[str, str] = {
-    "p1_found": """WITH RECURSIVE ids AS (SELECT DISTINCT try_cast(trim(id) AS BIGINT) AS id FROM skills),
-e AS (SELECT id, min(p) AS p FROM (SELECT try_cast(trim(id) AS BIGINT) AS id, try_cast(trim(unnest(map_keys(req))) AS BIGINT) AS p FROM skills) WHERE p IN (SELECT id FROM ids) GROUP BY id),
-w(id, cur, depth, seen) AS (SELECT id, p, 1, [id] FROM e UNION ALL SELECT w.id, e.p, depth + 1, list_append(seen, cur) FROM w JOIN e ON e.id = w.cur WHERE NOT list_contains(seen, cur)),
+    "p1_found": f"""WITH {_WALK},
 last AS (SELECT id, max_by(cur, depth) AS cur, max(depth) AS depth, max_by(seen, depth) AS seen FROM w GROUP BY id)
 SELECT id AS skill_id, CASE WHEN list_contains(seen, cur) THEN list_min(seen[list_position(seen, cur):]) ELSE cur END AS root_id, (CASE WHEN list_contains(seen, cur) THEN -1 ELSE depth END)::INT AS depth FROM last""",
-    "p2_found": r"""WITH c AS (SELECT stat_name, value_type, lower(regexp_replace(stat_name, '[^A-Za-z0-9]', '', 'g')) AS f FROM stat_catalog),
-r AS (SELECT try_cast(trim(skill_id) AS BIGINT) AS skill_id, skill_level, c.stat_name, value_type, regexp_replace(stat_value, '^\s+|\s+$', '', 'g') AS v
- FROM skill_levels l JOIN c ON c.f = lower(regexp_replace(l.stat_name, '[^A-Za-z0-9]', '', 'g'))),
-n AS (SELECT *, CASE value_type WHEN 'int' THEN CASE WHEN regexp_full_match(v, '[+-]?\d+(,\d{3})*(\.0*)?') THEN try_cast(regexp_replace(replace(v, ',', ''), '\.0*$', '') AS HUGEINT)::VARCHAR END
- WHEN 'double' THEN CASE WHEN regexp_full_match(replace(v, ',', '.'), '[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?') THEN try_cast(replace(v, ',', '.') AS DOUBLE)::VARCHAR END
- WHEN 'boolean' THEN CASE WHEN lower(v) IN ('true', 'yes', '1') THEN 'true' WHEN lower(v) IN ('false', 'no', '0') THEN 'false' END ELSE v END AS x FROM r WHERE v <> '')
-SELECT skill_id, skill_level, stat_name FROM n GROUP BY ALL HAVING count(x) < count(*) OR count(DISTINCT x) > 1""",
+    "p2_found": _CELLS + """ SELECT skill_id, skill_level, stat_name FROM n GROUP BY ALL HAVING count(x) < count(*) OR count(DISTINCT x) > 1""",
     "p3_found": f"""WITH {_RELEASES}, done AS (SELECT DISTINCT extractor AS source, version_id, ord FROM extractions JOIN rel USING (version_id)),
 steps AS (SELECT *, lag(version_id) OVER (PARTITION BY source ORDER BY ord) AS old FROM done),
 rec AS (SELECT source, version_id, kind, key, max_by(lower(trim(hash)), loaded_at) AS hash FROM (SELECT *, regexp_replace(regexp_replace(key, '[/\\\\]+', '/', 'g'), '^/|/$', '', 'g') AS k FROM records) AS r(version_id, source, kind, raw, hash, blob_hash, loaded_at, key) GROUP BY ALL),
 n AS (SELECT s.version_id AS v, s.source, kind, key, hash FROM steps s JOIN rec r ON r.source = s.source AND r.version_id = s.version_id WHERE old IS NOT NULL),
 o AS (SELECT s.version_id AS v, s.source, kind, key, hash FROM steps s JOIN rec r ON r.source = s.source AND r.version_id = s.old)
 SELECT v AS version_id, kind, key, CASE WHEN o.hash IS NULL THEN 'added' WHEN n.hash IS NULL THEN 'removed' ELSE 'modified' END AS status FROM n FULL JOIN o USING (v, source, kind, key) WHERE n.hash IS DISTINCT FROM o.hash""",
-    "p4_found": f"""WITH {_RELEASES}, canon AS (SELECT event_id, string_agg(j.fullkey || '=' || j.type || coalesce(j.atom::VARCHAR, ''), chr(10) ORDER BY j.fullkey) AS c
- FROM (SELECT event_id, data FROM history_events WHERE json_valid(data)) h, json_tree(h.data) j GROUP BY event_id),
-ev AS (SELECT kind, key, r.version_id, ord, max_by(event_id, received_at::VARCHAR || printf('%020d', event_id)) AS event_id FROM history_events h JOIN rel r ON lower(trim(r.label)) = lower(trim(h.version)) GROUP BY ALL),
-st AS (SELECT ev.*, CASE WHEN lower(trim(h.status)) = 'removed' THEN NULL ELSE coalesce(c, 'text ' || h.data, 'none') END AS c FROM ev JOIN history_events h USING (event_id) LEFT JOIN canon USING (event_id)),
-ch AS (SELECT *, lag(c) OVER w IS DISTINCT FROM c AS change FROM st WINDOW w AS (PARTITION BY kind, key ORDER BY ord)),
-pe AS (SELECT kind, key, version_id, c, lead(version_id) OVER (PARTITION BY kind, key ORDER BY ord) AS nxt FROM ch WHERE change)
+    "p4_found": f"""WITH {_PERIODS}
 SELECT kind, key, version_id AS from_version_id, coalesce(nxt, 0) AS to_version_id FROM pe WHERE c IS NOT NULL""",
     "p5_found": f"""{_DRIFT}
 SELECT feed, version_id, 'renamed' AS change, path, new_path FROM rn UNION ALL SELECT feed, version_id, 'retyped', path, '' FROM n JOIN o USING (feed, version_id, path) WHERE n.type <> o.type
@@ -172,4 +178,13 @@ f AS (SELECT rid, around_ord, string_agg(to_json(name)::VARCHAR || ':' || v::VAR
 SELECT t.rid AS record_id, t.kind, t.key, t.type, t.pre, t.pre - t.depth + coalesce(below, 0) AS post, t.depth::INT AS depth, t.path, coalesce(a.pre, -1) AS parent_pre, t.around AS parent_path,
  CASE t.type WHEN 'object' THEN '{' || coalesce(members, '') || '}' WHEN 'value' THEN t.v::VARCHAR END AS value
 FROM t LEFT JOIN t a ON a.rid = t.rid AND a.ord = t.around_ord LEFT JOIN n ON n.rid = t.rid AND n.up = t.ord LEFT JOIN f ON f.rid = t.rid AND f.around_ord = t.ord WHERE t.type <> 'value' OR t.inside <> 'OBJECT'""",
+    "p1_descendants": f"WITH {_WALK} SELECT skill_id, descendant_id, distance FROM pair",
+    "p1_hierarchy": f"""WITH {_WALK}, last AS (SELECT id, max_by(cur, depth) AS cur, max(depth) AS depth, max_by(seen, depth) AS seen FROM w GROUP BY id), n AS (SELECT skill_id, count(*) AS n FROM pair GROUP BY skill_id),
+r AS (SELECT ids.id, CASE WHEN cur IS NULL THEN ids.id WHEN list_contains(seen, cur) THEN list_min(seen[list_position(seen, cur):]) ELSE cur END AS root_id, CASE WHEN cur IS NULL THEN 0 WHEN list_contains(seen, cur) THEN -1 ELSE depth END AS depth, cur, seen FROM ids LEFT JOIN last USING (id) WHERE ids.id IS NOT NULL)
+SELECT id AS skill_id, root_id, depth::INT AS depth, CASE WHEN depth = 0 THEN id::VARCHAR WHEN depth > 0 THEN array_to_string(list_append(seen, cur), '/') END AS path, depth = -1 AS in_circle, coalesce(n, 0) AS n_descendants FROM r LEFT JOIN n ON n.skill_id = r.id""",
+    "p2_wide": _CELLS + """, v AS (SELECT skill_id, skill_level, stat_name, min(x) AS x FROM n GROUP BY ALL HAVING count(x) = count(*) AND count(DISTINCT x) = 1),
+ent AS (SELECT DISTINCT try_cast(trim(skill_id) AS BIGINT) AS skill_id, skill_level FROM skill_levels)
+SELECT ent.skill_id, ent.skill_level, max(CASE WHEN stat_name = 'mpCost' THEN x END)::DECIMAL(38,0) AS mpCost, max(CASE WHEN stat_name = 'hpCost' THEN x END)::DECIMAL(38,0) AS hpCost, max(CASE WHEN stat_name = 'dmgPct' THEN x END)::DECIMAL(38,0) AS dmgPct, max(CASE WHEN stat_name = 'hitCount' THEN x END)::DECIMAL(38,0) AS hitCount, max(CASE WHEN stat_name = 'targetCount' THEN x END)::DECIMAL(38,0) AS targetCount, max(CASE WHEN stat_name = 'durationSec' THEN x END)::DECIMAL(38,0) AS durationSec, max(CASE WHEN stat_name = 'cooldownSec' THEN x END)::DECIMAL(38,0) AS cooldownSec, max(CASE WHEN stat_name = 'procChance' THEN x END)::DECIMAL(38,0) AS procChance, max(CASE WHEN stat_name = 'reachPx' THEN x END)::DECIMAL(38,0) AS reachPx, max(CASE WHEN stat_name = 'castDelay' THEN x END)::DECIMAL(38,0) AS castDelay, max(CASE WHEN stat_name = 'summonHp' THEN x END)::DECIMAL(38,0) AS summonHp, max(CASE WHEN stat_name = 'pdefDelta' THEN x END)::DECIMAL(38,0) AS pdefDelta, max(CASE WHEN stat_name = 'critBonus' THEN x END)::DOUBLE AS critBonus, max(CASE WHEN stat_name = 'speedMul' THEN x END)::DOUBLE AS speedMul, max(CASE WHEN stat_name = 'healRatio' THEN x END)::DOUBLE AS healRatio, max(CASE WHEN stat_name = 'knockDist' THEN x END)::DOUBLE AS knockDist, max(CASE WHEN stat_name = 'dropMul' THEN x END)::DOUBLE AS dropMul, max(CASE WHEN stat_name = 'isAura' THEN x END)::BOOLEAN AS isAura, max(CASE WHEN stat_name = 'needsWeapon' THEN x END)::BOOLEAN AS needsWeapon, max(CASE WHEN stat_name = 'partyWide' THEN x END)::BOOLEAN AS partyWide, max(CASE WHEN stat_name = 'element' THEN x END)::VARCHAR AS element, max(CASE WHEN stat_name = 'text' THEN x END)::VARCHAR AS text, max(CASE WHEN stat_name = 'anchor' THEN x END)::VARCHAR AS anchor
+FROM ent LEFT JOIN v ON v.skill_id = ent.skill_id AND v.skill_level = ent.skill_level WHERE ent.skill_id IS NOT NULL AND ent.skill_level IS NOT NULL GROUP BY ALL""",
+    "p4_history": f"""WITH {_PERIODS} SELECT kind, key, version_id AS from_version_id, coalesce(nxt, 0) AS to_version_id, event_id, data FROM pe JOIN (SELECT event_id, data FROM history_events) USING (event_id) WHERE c IS NOT NULL""",
 }
