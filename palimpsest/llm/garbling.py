@@ -457,9 +457,11 @@ def measured(docs: DataFrame, counts: np.ndarray, text: str = "text") -> np.ndar
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(counts)
     words = docs.select(text).where(F.col(text).rlike(r"[^\x00-\x7f]")).mapInArrow(_words, "word string, n bigint")
-    words = words.groupBy("word").agg(F.sum("n").alias("n"))
-    parts = words.mapInArrow(_validation(shared, uuid.uuid4().hex), "kind int, at int, n bigint")
-    sums = parts.groupBy("kind", "at").agg(F.sum("n").alias("n")).toArrow()
+    # Few bytes, much work: partitions of a fixed number, which are not put together for being small.
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    words = words.repartition(parts, "word").groupBy("word").agg(F.sum("n").alias("n"))
+    told = words.mapInArrow(_validation(shared, uuid.uuid4().hex), "kind int, at int, n bigint")
+    sums = told.groupBy("kind", "at").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros((2, _STEPS), np.int64)
     table[sums["kind"].to_numpy(), sums["at"].to_numpy()] = sums["n"].to_numpy()
     return table
