@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions.canon import content_hash
 from palimpsest.functions.jsontext import canonical, read
 from palimpsest.session import ship
-from palimpsest.sources.nodes import VALUES
+from palimpsest.sources.nodes import NODES, VALUES  # noqa: F401
 
 _IMAGE = r"^(.*?\.img)(?:/.*)?$"
 
@@ -48,6 +48,13 @@ class _Tree:
         return name.isascii() and name.isdigit() and any(self.type[p] in VALUES for _, p in self.below(path))
 
 
+def entries(nodes: DataFrame) -> DataFrame:
+    """version_id, path: the nodes of a numeric name that have a value among their children."""
+    held = nodes.where(F.col("type").isin(*VALUES)).select("version_id", F.col("parent").alias("path")).distinct()
+    named = nodes.where(F.col("name").rlike("^[0-9]+$") & ~F.col("type").isin(*VALUES, "img"))
+    return named.join(held, ["version_id", "path"], "left_semi").select("version_id", "path")
+
+
 def _by_image(nodes: DataFrame, build: Callable[[str, _Tree], list[dict]], prefix: str) -> DataFrame:
     ship(nodes.sparkSession)
     image = F.regexp_extract("path", _IMAGE, 1)
@@ -174,9 +181,6 @@ def nodes_from_json(text: str, version_id: int = 1) -> list[tuple]:
     return out
 
 
-NODES = "version_id bigint, path string, parent string, name string, depth int, type string, value string"
-
-
 def node_json(nodes: DataFrame, path: str, depth: int = 0) -> str:
     """A node as indented JSON, ``depth`` levels of it (0: all). ``nodes`` is what ``sources.nodes.subtree`` gives of it."""
     rows = nodes.where(F.col("path").isNotNull()).dropDuplicates(["path"]).select("path", "parent", "name", "type", "value").toPandas()

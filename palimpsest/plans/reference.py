@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import canon, jobs, text, textdiff
 from palimpsest.operators import catalog, diff, extract, facets, search, timeline, versions
 from palimpsest.session import ship
-from palimpsest.sources import files, nodes, store
+from palimpsest.sources import files, store
 from palimpsest.sources.tables import releases, table
 
 
@@ -404,12 +404,6 @@ def field_groups(spark, d):
 # Payloads and files
 
 
-@query("SELECT DISTINCT hash, data FROM blobs")
-def blob_dedup(spark, d):
-    blobs = table(spark, d, "blobs")
-    return store.new_blobs(blobs.unionByName(blobs), blobs.where("false"))
-
-
 @query("SELECT hash FROM blobs b WHERE NOT EXISTS (SELECT 1 FROM records r WHERE lower(trim(r.blob_hash)) = b.hash)")
 def orphan_blobs(spark, d):
     records = table(spark, d, "records").select(F.lower(F.trim("blob_hash")).alias("blob_hash"))
@@ -430,18 +424,6 @@ def import_totals(spark, d):
     return files.import_totals(docs, table(spark, d, "eval_items").select(F.sha2("text", 256).alias("hash")))
 
 
-@query("""SELECT version_id, extractor, finished_at FROM extractions WHERE extractor <> 'images' UNION ALL SELECT version_id, 'images', 'again' FROM extractions WHERE extractor = 'images'""")
-def upsert_extractions(spark, d):
-    have = table(spark, d, "extractions").select("version_id", "extractor", "finished_at")
-    new = have.where("extractor = 'images'").withColumn("finished_at", F.lit("again"))
-    return have.join(new, ["version_id", "extractor"], "left_anti").unionByName(new)
-
-
-@query("""SELECT event_id, to_json({'event_id': event_id, 'user_id': user_id, 'event_type': event_type})::VARCHAR AS line FROM events""")
-def export_lines(spark, d):
-    return table(spark, d, "events").select("event_id", F.to_json(F.struct("event_id", "user_id", "event_type")).alias("line"))
-
-
 @query("""SELECT hash, CASE WHEN strlen(data) < 1024 THEN printf('%.1f B', strlen(data)::DOUBLE) ELSE printf('%.1f KiB', strlen(data) / 1024.0::DOUBLE) END AS size, substr(hash, 1, 2) || '/' || hash AS path FROM blobs""")
 def object_list(spark, d):
     return table(spark, d, "blobs").select("hash", text.human_bytes(F.octet_length("data")).alias("size"), text.object_path(F.col("hash")).alias("path"))
@@ -452,43 +434,6 @@ def game_text(spark, d):
     return table(spark, d, "documents").select("doc_id", text.game_html("text").alias("html"), text.summary(F.col("text")).alias("summary"))
 
 
-# The tree. The client's own format needs a parser that is not public, so the tree is a small literal one.
-
-TREE = """{"String": {"Eqp.img": {"Eqp": {"Weapon": {"1302000": {"name": "Sword", "desc": "A blade.", "7": {"v": 1}}, "note": {"x": {"y": 1}}}}},
- "Skill.img": {"1001003": {"name": "Iron Body", "desc": "Hard.", "h1": "Def 2", "h2": "Def 4"}, "1000000": {"name": "Recovery"}}},
- "Skill": {"100.img": {"skill": {"1001003": {"level": {"1": {"pdd": 2, "hs": "h1", "lt": [1, 2]}, "2": {"pdd": 4, "ball": {"z": 1}}}, "req": {"1000000": 5}, "icon": {"w": 1}},
- "1000000": {"common": {"maxLevel": "16"}, "invisible": 1, "elemAttr": "f"}}}, "Attacktype.img": {"a": 1}}}"""
-
-
-def _tree(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(extract.nodes_from_json(TREE), extract.NODES)
-
-
-@query()
-def tree_images(spark, d):
-    return nodes.images(_tree(spark)).select("path")
-
-
-@query()
-def tree_ls(spark, d):
-    return nodes.ls(_tree(spark), "String/Skill.img/1001003")
-
-
-@query()
-def extract_strings(spark, d):
-    return extract.strings(_tree(spark))
-
-
-@query()
-def extract_skills(spark, d):
-    return extract.skills(_tree(spark))
-
-
-@query()
-def extract_images(spark, d):
-    return extract.images(_tree(spark))
-
-
 @query("SELECT n_nationkey, n_name, decode(from_base64(p)) AS path FROM (SELECT n_nationkey, n_name, to_base64(encode(n_name)) AS p FROM nation)")
 def utf16_path(spark, d):
     raw = F.concat(F.unhex(F.lit("FFFE")), F.encode("n_name", "UTF-16LE"))
