@@ -101,7 +101,7 @@ def run(a, spark):  # noqa: ANN001, ANN201, C901
         kinds = records.where(F.col("version_id") == v).groupBy("kind").count().orderBy("kind").collect()
         return [f"{label[v]} (#{v})", *render.table(done, ["extractor", "record_count", "finished_at"]), *render.table(kinds, ["kind", "count"])]
     if a.command == "extract":
-        return [f"extracted {n} {k} records" for n, k in ingest.run_extractors(store, pick(a.version), spark.read.parquet(a.nodes), a.only).items()]
+        return [f"extracted {n} {k} records in {s:.1f} s" for k, (n, s) in ingest.run_extractors(store, pick(a.version), spark.read.parquet(a.nodes), a.only).items()]
     if a.command == "diff":
         return _diff(a, store, have, base, pick, label)
     if a.command == "history":

@@ -35,9 +35,10 @@ def with_key(records: DataFrame, key: str) -> DataFrame:
     return records.where(key_is(F.col("key"), key))
 
 
-def page(df: DataFrame, number: int, by: str = "key", size: int = PAGE) -> DataFrame:
-    """Page ``number`` (from 0) in natural order of ``by``."""
-    return df.orderBy(*natural_order(F.col(by))).offset(number * size).limit(size)
+def page(df: DataFrame, number: int, by: list[str] | str = "key", size: int = PAGE) -> DataFrame:
+    """Page ``number`` (from 0) in natural order of ``by``; of several columns the first in natural order."""
+    first, *rest = [by] if isinstance(by, str) else by
+    return df.orderBy(*natural_order(F.col(first)), *rest).offset(number * size).limit(size)
 
 
 def pages(df: DataFrame, size: int = PAGE) -> DataFrame:

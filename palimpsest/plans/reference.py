@@ -198,15 +198,8 @@ def text_similarity(spark, d):
     return _edited(spark, d).select("kind", "key", "path", textdiff.similarity(F.col("diff")).alias("similarity"), textdiff.display(F.col("diff"), F.col("old"), F.col("new")).alias("shown"))
 
 
-@query("SELECT doc_id, len(regexp_extract_all(text, '[\\p{L}\\p{M}\\p{N}''%]+|[^\\p{L}\\p{M}\\p{N}''%]'))::INT AS tokens FROM documents WHERE text IS NOT NULL AND regexp_full_match(text, '[ -~\\n]*')")
+@query(r"""SELECT doc_id, len(regexp_extract_all(text, '(?s)[\p{L}\p{Nd}\p{Nl}\p{No}''%]+|[^\p{L}\p{Nd}\p{Nl}\p{No}''%]'))::INT AS tokens FROM documents WHERE text IS NOT NULL""")
 def text_tokens(spark, d):
-    docs = table(spark, d, "documents").where(F.col("text").rlike(r"^[ -~\n]*$"))
-    return docs.select("doc_id", F.size(text.tokens(F.col("text"))).alias("tokens"))
-
-
-@query()
-def text_tokens_all(spark, d):
-    """``text_tokens`` of all documents with text. No SQL: DuckDB's letter classes differ beyond ASCII."""
     docs = table(spark, d, "documents").where("text is not null")
     return docs.select("doc_id", F.size(text.tokens(F.col("text"))).alias("tokens"))
 
@@ -246,16 +239,12 @@ def search_escaped(spark, d):
     return search.search(_records(spark, d), table(spark, d, "blobs"), latest, "5% less", kind="string").select("kind", "key")
 
 
-@query("SELECT kind, key FROM (SELECT DISTINCT kind, key, try_cast(key AS HUGEINT) AS n FROM records WHERE kind = 'skill' AND regexp_full_match(key, '[0-9]+')) ORDER BY n, key LIMIT 200 OFFSET 20")
+@query(f"""WITH {_REC}, k AS (SELECT DISTINCT kind, key FROM rec WHERE kind = 'skill' OR kind = 'string/Map'), n AS (SELECT *, CASE WHEN regexp_full_match(key, '\\+?[0-9]{{1,25}}') AND try_cast(key AS HUGEINT) < 18446744073709551616 THEN try_cast(key AS HUGEINT) END AS n FROM k)
+SELECT kind, key FROM n ORDER BY n IS NULL, n, key, kind LIMIT 200 OFFSET 200""")
 def page_records(spark, d):
-    rows = table(spark, d, "records").where("kind = 'skill'").select("kind", "key").where(F.col("key").rlike("^[0-9]+$")).distinct()
-    return rows.orderBy(*text.natural_order(F.col("key"))).offset(20).limit(search.PAGE)
-
-
-@query()
-def page_records_all(spark, d):
-    """The first page of all skill keys, cleaned, in the full natural order. No SQL."""
-    return search.page(_records(spark, d).where("kind = 'skill'").select("kind", "key").distinct(), 0)
+    """The second page of all skills and maps, in natural order of their keys: numbers first, then paths."""
+    rows = _records(spark, d).where("kind in ('skill', 'string/Map')").select("kind", "key").distinct()
+    return search.page(rows, 1, ["key", "kind"])
 
 
 @query("SELECT count(*) AS rows, ceil(count(*) / 200.0)::BIGINT AS pages FROM records")
@@ -363,11 +352,11 @@ def job_leaves(spark, d):
 
 
 @query(f"""WITH {_REC} SELECT key AS id, coalesce(try_cast(json_extract(data, '$.job') AS BIGINT), try_cast(key AS BIGINT) // 10000, 0) AS job, json_extract_string(data, '$.name') AS name,
-coalesce(try_cast(json_extract(data, '$.max_level') AS BIGINT), 0) AS max_level, coalesce(json_extract_string(data, '$.name') IS NOT NULL AND try_cast(json_extract(data, '$.max_level') AS BIGINT) > 0, false) AS listed
+coalesce(try_cast(json_extract(data, '$.max_level') AS BIGINT), 0) AS max_level, coalesce(json_extract_string(data, '$.name') IS NOT NULL AND try_cast(json_extract(data, '$.max_level') AS BIGINT) > 0, false) AS listed, CASE WHEN json_type(data, '$.desc') = 'VARCHAR' THEN json_extract_string(data, '$.desc') END AS desc, coalesce(json_extract(data, '$.invisible')::VARCHAR = 'true', false) AS invisible, coalesce(json_extract(data, '$.icon')::VARCHAR = 'true', false) AS has_icon, coalesce(len(json_keys(data, '$.req')), 0)::INT AS needs, coalesce(len(json_keys(data, '$.levels')), 0)::INT AS levels
 FROM rec LEFT JOIN blobs b ON b.hash = rec.blob_hash WHERE kind = 'skill' AND version_id = (SELECT version_id FROM rel ORDER BY ord DESC LIMIT 1)""")
 def skills_catalog(spark, d):
     latest = versions.resolve(table(spark, d, "client_versions"), "latest")
-    return catalog.skills(_records(spark, d), table(spark, d, "blobs"), latest).select("id", "job", "name", "max_level", catalog.is_listed().alias("listed"))
+    return catalog.skills(_records(spark, d), table(spark, d, "blobs"), latest).select("id", "job", "name", "max_level", "desc", "invisible", "has_icon", F.size("req").alias("needs"), F.size("levels").alias("levels"), catalog.is_listed().alias("listed"))
 
 
 @query(f"""WITH {_REC}, s AS (SELECT coalesce(try_cast(json_extract(data, '$.job') AS BIGINT), try_cast(key AS BIGINT) // 10000, 0) AS job,
@@ -379,7 +368,8 @@ def skill_jobs(spark, d):
     return catalog.per_job(catalog.skills(_records(spark, d), table(spark, d, "blobs"), latest))
 
 
-@query()
+@query("""WITH l AS (SELECT record_id, j.value AS lv FROM nested_records n, json_each(CASE WHEN json_valid(data) AND json_type(data, '$.levels') = 'OBJECT' THEN json_extract(data, '$.levels') END) j WHERE kind = 'skill' AND json_type(j.value) = 'OBJECT'),
+k AS (SELECT record_id, list_sort(list(DISTINCT stat)) AS stats FROM (SELECT record_id, unnest(json_keys(lv)) AS stat FROM l) WHERE stat <> 'text' GROUP BY ALL) SELECT key AS id, coalesce(stats, []) AS stats FROM nested_records LEFT JOIN k USING (record_id) WHERE kind = 'skill'""")
 def stat_keys(spark, d):
     rows = table(spark, d, "nested_records").where("kind = 'skill'").select(F.col("key").alias("id"), catalog.skill_fields("data")["levels"].alias("levels"))
     return catalog.stat_names(rows)
@@ -393,12 +383,16 @@ def level_ranges(spark, d):
     return rows.groupBy("skill_id").agg(text.ranges(F.collect_set("skill_level")).alias("levels"))
 
 
-@query()
+@query(r"""WITH l AS (SELECT record_id, j.key AS lv, j.value AS v FROM nested_records n, json_each(CASE WHEN json_valid(data) AND json_type(data, '$.levels') = 'OBJECT' THEN json_extract(data, '$.levels') END) j WHERE kind = 'skill' AND json_type(j.value) = 'OBJECT'),
+f AS (SELECT record_id, lv::INT AS lv, unnest(json_keys(v)) AS field FROM l WHERE regexp_full_match(lv, '[0-9]{1,9}')),
+g AS (SELECT record_id, field, list_sort(list(lv)) AS levels, count(*) AS n, 'levels/' || min(lv) || '/' || field AS path FROM f GROUP BY record_id, field)
+SELECT 'skill' AS kind, record_id::VARCHAR AS key, field, levels, n, path FROM g UNION ALL SELECT kind, record_id::VARCHAR, 'name', [], 1, 'name' FROM nested_records WHERE kind = 'skill'""")
 def field_groups(spark, d):
-    rows = table(spark, d, "nested_records").where("kind = 'skill' and data is not null")
-    pairs = rows.select("kind", "key", canon.json_fields(F.lit('{"levels":{}}'), "data").alias("fields"))
-    deep = rows.select("kind", "key", canon.json_fields(F.regexp_replace("data", r'"dmgPct"\s*:\s*\d+', '"dmgPct":0'), "data").alias("fields"))
-    return diff.grouped_fields(diff.field_rows(pairs.unionByName(deep)))
+    """The levels of skill payloads as fields that came, and one field without a level."""
+    rows = table(spark, d, "nested_records").where("kind = 'skill'").select("kind", F.col("record_id").cast("string").alias("key"), "data")
+    each = rows.select("kind", "key", F.explode(catalog.skill_fields("data")["levels"]).alias("lv", "stats")).select("kind", "key", "lv", F.explode("stats").alias("field", "new")).where("lv rlike '^[0-9]{1,9}$'")
+    paths = each.select("kind", "key", F.concat_ws("/", F.lit("levels"), "lv", "field").alias("path")).unionByName(rows.select("kind", "key", F.lit("name").alias("path")))
+    return diff.grouped_fields(paths.select("*", F.lit(None).cast("string").alias("old"), F.lit("1").alias("new"))).select("kind", "key", "field", "levels", "n", "path")
 
 
 # Payloads and files
@@ -429,9 +423,11 @@ def object_list(spark, d):
     return table(spark, d, "blobs").select("hash", text.human_bytes(F.octet_length("data")).alias("size"), text.object_path(F.col("hash")).alias("path"))
 
 
-@query()
+@query(r"""WITH t AS (SELECT doc_id, string_split(replace(replace(replace(replace(replace(replace(replace(text, '\r', ''), chr(65533), ' '), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '\n', '<br>'), '#') AS p FROM documents)
+SELECT doc_id, array_to_string(list_transform(range(1, len(p) + 1), lambda i: CASE WHEN i = 1 THEN p[1] ELSE CASE WHEN i > 2 AND regexp_matches(p[i - 1], '^[cbre]') THEN '</mark>' ELSE '' END || CASE WHEN regexp_matches(p[i], '^[cbre]') THEN '<mark>' ELSE '' END || regexp_replace(p[i], '^[cbrekn]', '') END), '')
+ || CASE WHEN len(p) > 1 AND regexp_matches(p[len(p)], '^[cbre]') THEN '</mark>' ELSE '' END AS html FROM t""")
 def game_text(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.game_html("text").alias("html"), text.summary(F.col("text")).alias("summary"))
+    return table(spark, d, "documents").select("doc_id", text.game_html("text").alias("html"))
 
 
 @query("SELECT n_nationkey, n_name, decode(from_base64(p)) AS path FROM (SELECT n_nationkey, n_name, to_base64(encode(n_name)) AS p FROM nation)")

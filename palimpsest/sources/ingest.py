@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import posixpath
+import time
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
@@ -52,10 +53,11 @@ def import_client(store: Store, client: str, label: str, channel: str = "live",
     return {"version_id": version, **totals.asDict(), "became_baseline": store.meta("baseline") == label and first != label}
 
 
-def run_extractors(store: Store, version_id: int, nodes: DataFrame, only: list[str] | None = None) -> dict[str, int]:
-    """Runs extractors over a version's nodes, each replacing its own records; records by extractor."""
+def run_extractors(store: Store, version_id: int, nodes: DataFrame, only: list[str] | None = None) -> dict[str, tuple[int, float]]:
+    """Runs extractors over a version's nodes, each replacing its own records; how many records and seconds, by extractor."""
     out = {}
     for name, extractor in chosen(only).items():
         rows = extractor(nodes.where(F.col("version_id") == version_id)).drop("version_id")
-        out[name] = store.replace_records(version_id, name, rows)
+        began = time.monotonic()
+        out[name] = store.replace_records(version_id, name, rows), time.monotonic() - began
     return out
