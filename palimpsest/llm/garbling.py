@@ -35,6 +35,8 @@ STEP, TOP = 1 / 16, 32.0
 SMOOTH = 5e-6
 #: Share of an unknown character among all, whatever the size of the corpus.
 UNKNOWN = 1e-8
+#: Characters of a token that are scored together: longer ones stand in languages without spaces, and once garbled.
+PIECE = 48
 #: A token of less gain does not keep its record out of the training.
 FLOOR = 2.0
 #: Share of the words garbled on purpose that a margin must find for the share of those garbled unnoticed to be told by it.
@@ -221,12 +223,29 @@ class Model:
         return [token.replace(_LOST, ""), out]
 
     def learn(self, texts: list[str]) -> None:
-        """Works out ``best`` for the tokens, many at once."""
+        """Works out ``best`` for the tokens, many at once. A token longer than ``PIECE`` gains what the best of its pieces
+        does; the others are not tried once one gains ``enough``."""
         if len(self.cache) > 200_000:
             self.cache.clear()
         new = [t for t in dict.fromkeys(texts) if t not in self.cache]
-        for i in range(0, len(new), 256):
-            self._learn(new[i : i + 256])
+        short = [t for t in new if len(t) <= PIECE]
+        for i in range(0, len(short), 256):
+            self._learn(short[i : i + 256])
+        going = [(t, html.unescape(t) if "&" in t else t, 0.0, "") for t in new if len(t) > PIECE]
+        for at in range(0, max((len(x) for _, x, _, _ in going), default=0), PIECE):
+            pieces = [x[at : at + PIECE] for _, x, _, _ in going]
+            once = [x for x in dict.fromkeys(pieces) if x not in self.cache and not x.isascii()]
+            for i in range(0, len(once), 256):
+                self._learn(once[i : i + 256])
+            on = []
+            for (t, whole, most, said), x in zip(going, pieces):
+                gain, best = self.cache.get(x, (0.0, x))
+                most, said = max(most, gain), said + best
+                if most >= self.enough or at + PIECE >= len(whole):
+                    self.cache[t] = (most, said + whole[at + PIECE :]) if most > 0 else (0.0, t)
+                else:
+                    on.append((t, whole, most, said))
+            going = on
 
     def _learn(self, texts: list[str]) -> None:
         tries = {t: (0.0, html.unescape(t) if "&" in t else t) for t in texts}
@@ -362,7 +381,7 @@ def _training(skip: Broadcast | None, slots: int):
     name = uuid.uuid4().hex
 
     def count_all(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = None if skip is None else _model(skip, name, FLOOR)
+        model = None if skip is None else _model(skip, name, FLOOR, FLOOR)
         table = count((t for b in source for t in _texts(b, 0)), model, slots)
         at = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(table[at])], names=["slot", "n"])
@@ -546,7 +565,7 @@ def garbled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", counts:
     name = uuid.uuid4().hex
 
     def find(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(shared, name, bound)
+        model = _model(shared, name, bound, bound)
         for batch in source:
             at, fixed, whole = [], [], []
             for i, (t, found) in enumerate(learned(_texts(batch, 1), model)):

@@ -170,3 +170,14 @@ def test_counts_beyond_32_bits(spark):
     assert rows(g.garbled(df, counts=counts, bound=12.0)) == [(1, CLEAN[1], True)]
     words = Counter(w for t in CLEAN for w in {*g.tokens(t)}).items()
     assert (g.measured(spark.createDataFrame([(t,) for t in CLEAN], "text string"), counts) == g.gains(words, g.Model(counts))).all()
+
+
+def test_garbling_anywhere_in_a_long_word_is_found(model):
+    clean = CLEAN[6] * 40
+    bad = spoil(CLEAN[6], "utf_8", "cp1252")
+    for at in (0, 17, 400, len(clean)):
+        text = clean[:at] + bad + clean[at:]
+        assert len(g.tokens(text)) == 1 and g.gain(text, model) > 30
+        assert g.most(g.tokens(text), g.Model(model.counts, 10.0, 10.0)) >= 10
+        assert g.restore(text, model, 12.0)[0]
+    assert g.gain(clean, model) < 2
