@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.jsontext import Unreadable, canonical, clean, read
-from palimpsest.session import Scratch, broadcast_if_small, ship
+from palimpsest.session import Scratch, broadcast_if_small, local_if_small, ship
 
 #: Leaves sent on at once.
 LEAVES = 50_000
@@ -166,7 +166,9 @@ def _renames(rows: DataFrame, files: DataFrame, added: DataFrame, removed: DataF
     old = last.select("feed", (F.col("place") + 1).alias("place"), "path", "id", "v").join(went, ["feed", "place", "path"], "left_semi")
     new = last.withColumnRenamed("path", "new_path").join(came, ["feed", "place", "new_path"], "left_semi")
     agree = old.join(new, ["feed", "place", "id", "v"]).groupBy("feed", "place", "path", "new_path").agg(F.count("*").alias("equal"))
-    pairs = agree.join(old.drop("v"), ["feed", "place", "path"]).join(new.drop("v"), ["feed", "place", "new_path", "id"])
+    agree = local_if_small(agree)  # as small as the catalogue
+    # The ids that both hold meet by id, so that no task gets all values of a large feed.
+    pairs = old.drop("v").join(agree, ["feed", "place", "path"]).join(new.drop("v"), ["feed", "place", "id", "new_path"])
     whole = pairs.groupBy("feed", "place", "path", "new_path", "equal").agg(F.count("*").alias("met")).where("met = equal")
     best = lambda key, other: F.row_number().over(Window.partitionBy("feed", "place", key).orderBy(F.desc("equal"), other))
     ranked = whole.withColumn("r", best("path", "new_path")).withColumn("s", best("new_path", "path"))
