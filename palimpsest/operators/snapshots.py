@@ -10,7 +10,9 @@ from palimpsest.session import Scratch, blank_trim, broadcast_if_small
 
 def path_key(key: Column) -> Column:
     """A key as a path: single ``/`` between its parts, none outside, whatever separators it was written with."""
-    return F.regexp_replace(F.regexp_replace(key, r"[/\\]+", "/"), "^/|/$", "")
+    whole = F.regexp_replace(F.regexp_replace(key, r"[/\\]+", "/"), "^/|/$", "")
+    odd = key.contains("\\") | key.contains("//") | key.startswith("/") | key.endswith("/")
+    return F.when(odd, whole).otherwise(key)  # most keys need no regular expression
 
 
 def hash_bytes(hash_: Column) -> Column:
@@ -18,7 +20,8 @@ def hash_bytes(hash_: Column) -> Column:
     than that so that the two never meet."""
     h = F.lower(blank_trim(hash_))
     other = F.concat(F.encode(F.lit("text of another form, kept whole: "), "utf-8"), F.encode(h, "utf-8"))
-    return F.when(h.rlike("^[0-9a-f]{64}$"), F.unhex(h)).otherwise(other)
+    odd = F.when(h.rlike("^[0-9a-f]{64}$"), F.unhex(h)).otherwise(other)
+    return F.coalesce(F.when(F.length(hash_) == 64, F.unhex(hash_)), odd)
 
 
 def hash_text(h: Column) -> Column:

@@ -44,3 +44,17 @@ def test_nulls_ties_and_empty(spark):
 def test_one_record_loaded_over_and_over(spark):
     data = [(1, "s", "k", "hot", H["a"], T[0])] * 2000 + [(2, "s", "k", "hot", H["a"], T[0])] * 500 + [(2, "s", "k", "hot", H["b"], T[1])]
     assert run(spark, data) == [(2, "k", "hot", "modified"), (3, "k", "hot", "removed")]
+
+
+def test_hashes_of_any_form_come_back(spark):
+    from pyspark.sql import functions as F
+
+    from palimpsest.operators.snapshots import hash_bytes, hash_text, path_key
+
+    forms = ["a" * 64, "AB" * 32, " " + "0f" * 32 + "\t", "z" * 64, "a" * 63, " " + "a" * 63, "short", "", None, "é" * 64, "0" * 65]
+    df = spark.createDataFrame([(f,) for f in forms], "h string")
+    got = [r[0] for r in df.select(hash_text(hash_bytes(F.col("h")))).collect()]
+    assert got == [None if f is None else f.strip().lower() for f in forms]
+    keys = ["a/b", "/a", "a/", "a//b", "a\\b", "\\\\a\\/b/", "/", "", None]
+    got = [r[0] for r in spark.createDataFrame([(k,) for k in keys], "k string").select(path_key(F.col("k"))).collect()]
+    assert got == ["a/b", "a", "a", "a/b", "a/b", "a/b", "", "", None]
