@@ -566,6 +566,7 @@ def garbled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", counts:
 
     def find(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(shared, name, bound, bound)
+        known: dict[str, tuple[str, bool]] = {}  # a garbled text may be copied often
         for batch in source:
             at, fixed, whole = [], [], []
             for i, (t, found) in enumerate(learned(_texts(batch, 1), model)):
@@ -573,9 +574,12 @@ def garbled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", counts:
                     continue
                 at.append(i)
                 if restored:
-                    _, new, complete = restore(t, model, bound, found)
-                    fixed.append(new)
-                    whole.append(complete)
+                    if t not in known:
+                        if len(known) >= 500:
+                            known.clear()
+                        known[t] = restore(t, model, bound, found)[1:]
+                    fixed.append(known[t][0])
+                    whole.append(known[t][1])
             columns = [batch.column(0).take(pa.array(at, pa.int64()))]
             if restored:
                 columns += [pa.array(fixed, pa.string()), pa.array(whole, pa.bool_())]
