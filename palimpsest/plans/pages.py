@@ -181,6 +181,10 @@ def history_lines(spark, d):
     return report.history(found, have).select("kind", "key", (F.col("n") / (1 << 20)).cast("bigint").alias("ord"), "line")
 
 
+def _levels_told(df: DataFrame) -> DataFrame:
+    return df.withColumn("levels", F.array_join(F.transform("levels", lambda x: x.cast("string")), ","))
+
+
 # Edited texts: what is marked gives both texts back
 
 
@@ -191,15 +195,15 @@ def text_diff_sides(spark, d):
     return _edited(spark, d).select("kind", "key", "path", side("added").alias("before"), side("removed").alias("after"))
 
 
-@query(f"""WITH {_LEAF}, lv AS (SELECT kind, key, path, old, new FROM f) SELECT kind, key, path AS label, []::INT[] AS levels, old, new FROM lv""")
+@query(f"""WITH {_LEAF}, lv AS (SELECT kind, key, path, old, new FROM f) SELECT kind, key, path AS label, '' AS levels, old, new FROM lv""")
 def field_table(spark, d):
-    return diff.field_table(diff.field_rows(_changes(spark, d)))
+    return _levels_told(diff.field_table(diff.field_rows(_changes(spark, d))))
 
 
 @query(r"""WITH s AS (SELECT record_id, j.fullkey, j.value::VARCHAR AS v FROM nested_records n, json_tree(CASE WHEN json_valid(data) THEN data END) j WHERE kind = 'skill' AND regexp_full_match(j.fullkey, '\$\.levels\.[0-9]+\.(dmgPct|mpCost)|\$\.levels\."[0-9]+"\.(dmgPct|mpCost)')),
 c AS (SELECT record_id::VARCHAR AS key, regexp_extract(fullkey, '([0-9]+)', 1)::INT AS level, regexp_extract(fullkey, '([A-Za-z]+)$', 1) AS field, v FROM s),
 g AS (SELECT key, field, count(*) AS n, list_sort(list(level)) AS levels, min_by(v, level) AS v FROM c GROUP BY ALL)
-SELECT 'skill' AS kind, key, label, levels, NULL::VARCHAR AS old, v AS new FROM (SELECT g.key, levels, v, 'Lv ' || (SELECT string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a::VARCHAR || '–' || b::VARCHAR END, ', ' ORDER BY a) FROM
+SELECT 'skill' AS kind, key, label, array_to_string(levels, ',') AS levels, NULL::VARCHAR AS old, v AS new FROM (SELECT g.key, levels, v, 'Lv ' || (SELECT string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a::VARCHAR || '–' || b::VARCHAR END, ', ' ORDER BY a) FROM
  (SELECT min(x) AS a, max(x) AS b FROM (SELECT x, x - row_number() OVER (ORDER BY x) AS island FROM (SELECT unnest(levels) AS x)) GROUP BY island)) || ' · ' || field || ' (' || n || ' levels)' AS label FROM g WHERE n >= 3
 UNION ALL SELECT c.key, [level], c.v, 'Lv ' || level || ' · ' || c.field FROM c JOIN g ON g.key = c.key AND g.field = c.field WHERE n < 3)""")
 def level_table(spark, d):
@@ -207,7 +211,7 @@ def level_table(spark, d):
     rows = table(spark, d, "nested_records").where("kind = 'skill'").select(F.col("record_id").cast("string").alias("key"), catalog.skill_fields("data")["levels"].alias("levels"))
     each = rows.select("key", F.explode("levels").alias("lv", "stats")).select("key", "lv", F.explode("stats").alias("field", "new")).where("field in ('dmgPct', 'mpCost') and lv rlike '^[0-9]+$'")
     fields = each.select(F.lit("skill").alias("kind"), "key", F.concat_ws("/", F.lit("levels"), "lv", "field").alias("path"), F.lit(None).cast("string").alias("old"), "new")
-    return diff.field_table(fields)
+    return _levels_told(diff.field_table(fields))
 
 
 # Skills

@@ -369,10 +369,10 @@ def skill_jobs(spark, d):
 
 
 @query("""WITH l AS (SELECT record_id, j.value AS lv FROM nested_records n, json_each(CASE WHEN json_valid(data) AND json_type(data, '$.levels') = 'OBJECT' THEN json_extract(data, '$.levels') END) j WHERE kind = 'skill' AND json_type(j.value) = 'OBJECT'),
-k AS (SELECT record_id, list_sort(list(DISTINCT stat)) AS stats FROM (SELECT record_id, unnest(json_keys(lv)) AS stat FROM l) WHERE stat <> 'text' GROUP BY ALL) SELECT key AS id, coalesce(stats, []) AS stats FROM nested_records LEFT JOIN k USING (record_id) WHERE kind = 'skill'""")
+k AS (SELECT record_id, list_sort(list(DISTINCT stat)) AS stats FROM (SELECT record_id, unnest(json_keys(lv)) AS stat FROM l) WHERE stat <> 'text' GROUP BY ALL) SELECT key AS id, coalesce(array_to_string(stats, ','), '') AS stats FROM nested_records LEFT JOIN k USING (record_id) WHERE kind = 'skill'""")
 def stat_keys(spark, d):
     rows = table(spark, d, "nested_records").where("kind = 'skill'").select(F.col("key").alias("id"), catalog.skill_fields("data")["levels"].alias("levels"))
-    return catalog.stat_names(rows)
+    return catalog.stat_names(rows).select("id", F.array_join("stats", ",").alias("stats"))
 
 
 @query("""WITH l AS (SELECT DISTINCT try_cast(trim(skill_id) AS BIGINT) AS skill_id, skill_level AS lv FROM skill_levels), g AS (SELECT skill_id, lv, lv - row_number() OVER (PARTITION BY skill_id ORDER BY lv) AS island FROM l),
@@ -386,13 +386,13 @@ def level_ranges(spark, d):
 @query(r"""WITH l AS (SELECT record_id, j.key AS lv, j.value AS v FROM nested_records n, json_each(CASE WHEN json_valid(data) AND json_type(data, '$.levels') = 'OBJECT' THEN json_extract(data, '$.levels') END) j WHERE kind = 'skill' AND json_type(j.value) = 'OBJECT'),
 f AS (SELECT record_id, lv::INT AS lv, unnest(json_keys(v)) AS field FROM l WHERE regexp_full_match(lv, '[0-9]{1,9}')),
 g AS (SELECT record_id, field, list_sort(list(lv)) AS levels, count(*) AS n, 'levels/' || min(lv) || '/' || field AS path FROM f GROUP BY record_id, field)
-SELECT 'skill' AS kind, record_id::VARCHAR AS key, field, levels, n, path FROM g UNION ALL SELECT kind, record_id::VARCHAR, 'name', [], 1, 'name' FROM nested_records WHERE kind = 'skill'""")
+SELECT 'skill' AS kind, record_id::VARCHAR AS key, field, array_to_string(levels, ',') AS levels, n, path FROM g UNION ALL SELECT kind, record_id::VARCHAR, 'name', '', 1, 'name' FROM nested_records WHERE kind = 'skill'""")
 def field_groups(spark, d):
     """The levels of skill payloads as fields that came, and one field without a level."""
     rows = table(spark, d, "nested_records").where("kind = 'skill'").select("kind", F.col("record_id").cast("string").alias("key"), "data")
     each = rows.select("kind", "key", F.explode(catalog.skill_fields("data")["levels"]).alias("lv", "stats")).select("kind", "key", "lv", F.explode("stats").alias("field", "new")).where("lv rlike '^[0-9]{1,9}$'")
     paths = each.select("kind", "key", F.concat_ws("/", F.lit("levels"), "lv", "field").alias("path")).unionByName(rows.select("kind", "key", F.lit("name").alias("path")))
-    return diff.grouped_fields(paths.select("*", F.lit(None).cast("string").alias("old"), F.lit("1").alias("new"))).select("kind", "key", "field", "levels", "n", "path")
+    return diff.grouped_fields(paths.select("*", F.lit(None).cast("string").alias("old"), F.lit("1").alias("new"))).select("kind", "key", "field", F.array_join("levels", ",").alias("levels"), "n", "path")
 
 
 # Payloads and files

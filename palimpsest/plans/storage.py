@@ -216,7 +216,7 @@ def file_gc_report(spark, d):
     return spark.createDataFrame([tuple(store.gc().values())], "objects bigint, bytes bigint, blobs bigint")
 
 
-@query("""SELECT label AS path, 100 + version_id AS size, version_id AS mtime, CASE WHEN channel = 'live' THEN ['a', 'b'] ELSE ['__DIR__'] END AS objects, channel <> 'live' AS is_dir, 'p' AS product FROM client_versions""")
+@query("""SELECT label AS path, 100 + version_id AS size, version_id AS mtime, CASE WHEN channel = 'live' THEN 'a,b' ELSE '__DIR__' END AS objects, channel <> 'live' AS is_dir, 'p' AS product FROM client_versions""")
 def manifest_files(spark, d):
     """A manifest whose files are the versions' labels, found by its pointer file."""
     root = _folder(spark)
@@ -227,7 +227,7 @@ def manifest_files(spark, d):
     _put(spark, f"{root}/cafe", zlib.compress(json.dumps({"buildtime": 1.5, "product": "p", "version": "1", "files": listed}).encode()))
     _put(spark, f"{root}/x.manifest.hash", b"cafe\n")
     found = files.current_manifest(spark, root)
-    return found.select("product", F.explode("files").alias("f")).select("f.*", "product")
+    return found.select("product", F.explode("files").alias("f")).select("f.*", "product").withColumn("objects", F.array_join("objects", ","))
 
 
 # The tree. The client's own format needs a parser that is not public: its nodes are told from nested_records, an image each.
