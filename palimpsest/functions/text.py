@@ -114,10 +114,13 @@ def object_path(hash_: Column) -> Column:
     return F.concat(F.substring(hash_, 1, 2), F.lit("/"), hash_)
 
 
+_SCHEME = "^[a-zA-Z][a-zA-Z0-9+.-]+:(//[^/]*)?"
+
+
 def relative_path(col: Column, root: str) -> Column:
-    """A file's path below ``root``, with ``/`` between its parts."""
-    path = F.regexp_replace(F.regexp_replace(col, r"\\", "/"), "^file:/+", "/")
-    return F.regexp_replace(path, "^/*" + re.escape(root.replace("file://", "").strip("/")) + "/", "")
+    """A file's path below ``root``, with ``/`` between its parts; either may name a file system and its host."""
+    path = F.regexp_replace(F.regexp_replace(col, r"\\", "/"), _SCHEME, "")
+    return F.regexp_replace(path, "^/*" + re.escape(re.sub(_SCHEME, "", root.replace("\\", "/")).strip("/")) + "/+", "")
 
 
 def summary(col: Column) -> Column:

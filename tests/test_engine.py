@@ -159,6 +159,11 @@ def test_text_helpers(spark):
     assert h[0] == h[1] and h[2] is None
 
 
+def test_paths_below_a_root(spark):
+    for root in ("/a/b", "file:/a/b/", "file:///a/b", "hdfs://host:8020/a/b", "\\a\\b"):
+        assert col(spark, ["file:/a/b/c/d", "hdfs://host:8020/a/b/c/d", "/a/b/c/d", "\\a\\b\\c\\d", "/a/bc/d"], lambda c: text.relative_path(c, root)) == ["c/d"] * 4 + ["/a/bc/d"]  # noqa: B023
+
+
 def test_store(spark, store):
     a, b = store.insert_version("a"), store.insert_version("b")
     with pytest.raises(ValueError):
