@@ -8,7 +8,6 @@ column aligned to the positions, so the wide rows are the columns laid side by s
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -26,7 +25,7 @@ TYPES = {"int": T.DecimalType(38, 0), "double": T.DoubleType(), "boolean": T.Boo
 
 def letters(col: Column) -> Column:
     """A name by its letters and digits, without case."""
-    return F.lower(F.regexp_replace(col, r"[^\p{L}\p{N}]", ""))
+    return F.lower(F.when(col.rlike("^[A-Za-z0-9]*$"), col).otherwise(F.regexp_replace(col, r"[^\p{L}\p{N}]", "")))
 
 
 def reading(value: Column, kind: Column) -> Column:
@@ -46,8 +45,10 @@ def reading(value: Column, kind: Column) -> Column:
     as_double = F.when(as_double == 0, F.lit(0.0)).when(F.abs(as_double) < float("inf"), as_double)
     low = F.lower(v)
     as_bool = F.when(low.isin("true", "yes", "1"), "true").when(low.isin("false", "no", "0"), "false")
+    short = value.rlike("^[0-9]{1,18}$")  # most ints need no more
     return (
-        F.when(kind == "int", as_int.cast("string"))
+        F.when((kind == "int") & short, value.try_cast("bigint").cast("string"))
+        .when(kind == "int", as_int.cast("string"))
         .when(kind == "double", as_double.cast("string"))
         .when(kind == "boolean", as_bool)
         .otherwise(v)
